@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -273,24 +274,35 @@ def feature_table(
     return feature_series(points, columns, digits, max_rows).table()
 
 
+class PathTables(dict[str, DataFrame]):
+    """The five stored outputs by name, all read from one shared set of rows until ``release``."""
+
+    def __init__(self, shared: DataFrame, tables: dict[str, DataFrame]):
+        super().__init__(tables)
+        self._shared = shared
+
+    def release(self) -> None:
+        self._shared.unpersist()
+
+
 def path_tables(
     points: DataFrame,
     columns: PathColumns = EFFECTOR_PATHS,
     digits: int | None = None,
     max_rows: int | None = MAX_ROWS,
-) -> dict[str, DataFrame]:
-    """The five stored outputs: curvatures, peaks, tangents, bisectors, knots."""
+) -> PathTables:
+    """Curvatures, peaks, tangents, bisectors and knots, for writing out one after the other."""
     series = bound(feature_series(points, columns, digits, max_rows), columns)
-    # Five tables are written from these rows; on disk so that memory is no limit. A lost executor
-    # only loses partitions that Spark computes again.
-    from pyspark import StorageLevel
-
+    # Kept on disk, so memory is no limit; partitions lost with an executor are computed again.
     shared = Series(series.rows.persist(StorageLevel.DISK_ONLY), series.keys, series.order, series.chunked)
     rows, key = shared.table(), [*columns.keys, columns.tie]
-    return {
-        "curvatures": rows.select(*key, "curvature"),
-        "peaks": rows.filter(F.col("peak_type").isNotNull()).select(*key, "peak_type"),
-        "tangents": rows.select(*key, "tangent"),
-        "bisectors": rows.select(*key, "bisector_x", "bisector_y"),
-        "knots": _number_knots(shared, columns).select(*key, "knot_index"),
-    }
+    return PathTables(
+        shared.rows,
+        {
+            "curvatures": rows.select(*key, "curvature"),
+            "peaks": rows.filter(F.col("peak_type").isNotNull()).select(*key, "peak_type"),
+            "tangents": rows.select(*key, "tangent"),
+            "bisectors": rows.select(*key, "bisector_x", "bisector_y"),
+            "knots": _number_knots(shared, columns).select(*key, "knot_index"),
+        },
+    )

@@ -64,7 +64,7 @@ def sweep(joints: DataFrame, resolution: int) -> tuple[DataFrame, DataFrame]:
 FEATURE_FLAGS = ("is_positive_peak", "is_negative_peak", "is_crossover")
 
 
-def refine_pivots(samples: DataFrame) -> DataFrame:
+def _pivots(samples: DataFrame) -> DataFrame:
     """Samples at a peak or crossover, moved to the grid of the next level of detail.
 
     Needs animation_id, effector_index, lod_index, frame_index, time, resolution, end_frame_time,
@@ -87,17 +87,22 @@ def refine_pivots(samples: DataFrame) -> DataFrame:
     return (
         pivots.withColumns({"time_factor": step, "frame_index": F.col("frame_index") * 2})
         .withColumn("time", F.col("frame_index") * F.col("time_factor"))
-        .drop("span")
+        .drop("span", "end_frame_time")
     )
 
 
+def refine_pivots(samples: DataFrame) -> DataFrame:
+    """The refinement's starting points alone."""
+    return _pivots(samples).drop("frame_count")
+
+
 def refine(samples: DataFrame) -> DataFrame:
     """The pivots and, half a step to either side of each, new frames still to be measured.
 
     New frames outside the grid are left out. Two pivots next to each other ask for the same frame
     between them; the earlier time is kept. Not yet measured values are NULL.
     """
-    pivots = refine_pivots(samples)
+    pivots = _pivots(samples)
     key = ["animation_id", "effector_index", "lod_index", "frame_index"]
     side = F.explode(F.array(F.lit(-1), F.lit(1)))
     children = (
