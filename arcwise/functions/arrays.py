@@ -29,6 +29,16 @@ def trailing_number(text: Column) -> Column:
     return F.regexp_extract(text, "_([0-9]{1,18})$", 1).try_cast("bigint")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Distribute few rows over all shuffle partitions before they are multiplied.
+
+    The number is given outright: left to itself, adaptive execution would merge the small
+    partitions by their size now, and one task would then write out all of their expansion.
+    """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(partitions, *keys)
+
+
 def expand_range(rows: DataFrame, count: str, name: str, block: int = BLOCK) -> DataFrame:
     """One output row per 0 <= ``name`` < ``count`` (INT) for every input row.
 
@@ -43,7 +53,7 @@ def expand_range(rows: DataFrame, count: str, name: str, block: int = BLOCK) ->
     long = (
         rows.filter(size > block)
         .withColumn("block_start", F.explode(F.sequence(F.lit(0), size.cast("int") - 1, F.lit(block))))
-        .repartition(*rows.columns, "block_start")
+        .transform(spread, *rows.columns, "block_start")
         .withColumn(
             name, F.explode(F.sequence(first, F.least(first + (block - 1), size.cast("int") - 1)))
         )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcwise.functions.arrays import expand_range, trailing_number
+from arcwise.functions.arrays import expand_range, spread, trailing_number
 
 TOTAL_TIME = 1.0
 
@@ -45,7 +45,11 @@ def sweep_frames(animations: DataFrame, resolution: int, lod_index: int = 0) ->
     frames = frame_count(resolution, lod_index)
     number = F.coalesce(trailing_number(F.col("motion_id")), F.lit(0))
     grid = expand_range(
-        animations.select("animation_id", "motion_id", F.lit(frames).alias("frames")), "frames", "frame_index"
+        spread(animations.select("animation_id", "motion_id"), "animation_id").withColumn(
+            "frames", F.lit(frames)
+        ),
+        "frames",
+        "frame_index",
     )
     return grid.select(
         "animation_id",

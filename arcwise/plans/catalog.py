@@ -171,9 +171,11 @@ def fk_long_chains(spark, folder):
 
 
 def _local_effectors(spark, folder):
-    joints = kinematics.oscillate_joints(kinematics.animation_joints(*b.customer_animations(spark, folder)))
+    inputs = b.customer_animations(spark, folder)
+    joints = kinematics.oscillate_joints(kinematics.animation_joints(*inputs))
     return kinematics.resolve_chains(
-        joints.select("animation_id", "frame_id", "joint_index", "position_x", "orientation")
+        joints.select("animation_id", "frame_id", "joint_index", "position_x", "orientation"),
+        longest_chain=kinematics.measure(inputs[1], inputs[2]).longest_chain,
     ).drop("joint_index")
 
 
