@@ -120,11 +120,15 @@ def turning_angles(points: DataFrame, columns: PathColumns = EFFECTOR_PATHS, max
 # -- peaks --------------------------------------------------------------------------------------
 
 
+def _leveled(series: Series, digits: int | None) -> Series:
+    """Adds the curvature as it is compared."""
+    return series.with_columns({"level": g.rounded(F.col("curvature"), digits)})
+
+
 def flag_extrema(series: Series, digits: int | None = None) -> Series:
     """Flags rows at the highest and at the lowest curvature of their series."""
-    level = g.rounded(F.col("curvature"), digits)
     return (
-        series.with_columns({"level": level})
+        _leveled(series, digits)
         .totals({"max_curvature": F.max("level"), "min_curvature": F.min("level")})
         .with_columns(
             {
@@ -137,9 +141,8 @@ def flag_extrema(series: Series, digits: int | None = None) -> Series:
 
 def flag_crossovers(series: Series, digits: int | None = None) -> Series:
     """Flags rows whose curvature has the opposite sign of the row before; NULL on the first row."""
-    level = g.rounded(F.col("curvature"), digits)
     return (
-        series.with_columns({"level": level})
+        _leveled(series, digits)
         .neighbours(previous={"level_before": "level"})
         .with_columns({"is_crossover": F.col("level") * F.col("level_before") < 0})
     )
@@ -152,7 +155,8 @@ def flag_peaks(series: Series, digits: int | None = None) -> Series:
         .when(F.col("is_negative_peak"), "negative")
         .when(F.col("is_crossover"), "crossover")
     )
-    return flag_crossovers(flag_extrema(series, digits), digits).with_columns({"peak_type": label})
+    settled = series.settle()
+    return flag_crossovers(flag_extrema(settled, digits), digits).with_columns({"peak_type": label})
 
 
 def _curved(points: DataFrame, columns: PathColumns, max_rows: int | None) -> Series:
@@ -262,7 +266,7 @@ def feature_series(
     )
     flagged = flag_peaks(series, digits)
     dropped = ("level", "level_before", "max_curvature", "min_curvature")
-    return flagged.select(*[name for name in flagged.table().columns if name not in dropped])
+    return flagged.drop(*dropped)
 
 
 def feature_table(
@@ -277,12 +281,13 @@ def feature_table(
 class PathTables(dict[str, DataFrame]):
     """The five stored outputs by name, all read from one shared set of rows until ``release``."""
 
-    def __init__(self, shared: DataFrame, tables: dict[str, DataFrame]):
+    def __init__(self, shared: list[DataFrame], tables: dict[str, DataFrame]):
         super().__init__(tables)
         self._shared = shared
 
     def release(self) -> None:
-        self._shared.unpersist()
+        for rows in self._shared:
+            rows.unpersist()
 
 
 def path_tables(
@@ -294,10 +299,11 @@ def path_tables(
     """Curvatures, peaks, tangents, bisectors and knots, for writing out one after the other."""
     series = bound(feature_series(points, columns, digits, max_rows), columns)
     # Kept on disk, so memory is no limit; partitions lost with an executor are computed again.
-    shared = Series(series.rows.persist(StorageLevel.DISK_ONLY), series.keys, series.order, series.chunked)
+    kept = [rows.persist(StorageLevel.DISK_ONLY) for rows in (series.whole, series.cut) if rows is not None]
+    shared = Series(kept[0], series.keys, series.order, *kept[1:])
     rows, key = shared.table(), [*columns.keys, columns.tie]
     return PathTables(
-        shared.rows,
+        kept,
         {
             "curvatures": rows.select(*key, "curvature"),
             "peaks": rows.filter(F.col("peak_type").isNotNull()).select(*key, "peak_type"),

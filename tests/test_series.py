@@ -33,31 +33,25 @@ def rows_of(table):
 
 def test_long_series_are_cut_and_short_ones_are_not(points):
     series = split_series(points, ("k",), COLUMNS.order, max_rows=60)
-    assert series.chunked
-    chunks = {
-        row["k"]: (row["pieces"], row["largest"])
-        for row in series.rows.groupBy("k", CHUNK)
-        .count()
-        .groupBy("k")
-        .agg(F.count(CHUNK).alias("pieces"), F.max("count").alias("largest"))
-        .collect()
-    }
-    assert chunks[0][0] > 10 and chunks[None][0] > 10
-    assert chunks[0][1] < 150
-    assert all(pieces == 0 for key, (pieces, _) in chunks.items() if key not in (0, None))
-    assert series.rows.count() == points.count()
+    sizes = series.cut.groupBy("k", CHUNK).count().collect()
+    assert {r["k"] for r in sizes} == {0, None}
+    for key in (0, None):
+        assert sum(r["k"] == key for r in sizes) > 10
+    assert max(r["count"] for r in sizes) < 150
+    assert series.whole.filter("k IS NULL OR k = 0").count() == 0
+    assert series.table().count() == points.count()
 
 
 def test_chunks_follow_the_order(points):
-    rows = split_series(points, ("k",), COLUMNS.order, max_rows=60).rows.filter("k = 0").collect()
+    rows = split_series(points, ("k",), COLUMNS.order, max_rows=60).cut.filter("k = 0").collect()
     rows.sort(key=lambda r: (r["time"], r["id"]))
     chunks = [r[CHUNK] for r in rows]
-    assert chunks == sorted(chunks)
+    assert chunks == sorted(chunks) and chunks[0] == 0
 
 
 def test_nothing_is_cut_below_the_limit(points):
-    assert not split_series(points, ("k",), COLUMNS.order, max_rows=10_000).chunked
-    assert not split_series(points, ("k",), COLUMNS.order, max_rows=None).chunked
+    assert split_series(points, ("k",), COLUMNS.order, max_rows=10_000).cut is None
+    assert split_series(points, ("k",), COLUMNS.order, max_rows=None).cut is None
 
 
 @pytest.mark.parametrize("max_rows", [5, 60])
