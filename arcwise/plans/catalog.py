@@ -198,17 +198,18 @@ def fk_tree(spark, folder):
 
 @query
 def animation_documents(spark, folder):
-    posed = kinematics.posed_frames(*b.customer_animations(spark, folder))
-    return _six(kinematics.unnest_effectors(kinematics.animation_documents(posed)))
+    documents = kinematics.document_table(*b.customer_animations(spark, folder))
+    return _six(kinematics.unnest_effectors(documents))
 
 
 @query
 def unnest_documents(spark, folder):
-    posed = kinematics.posed_frames(*b.customer_animations(spark, folder))
-    frames = kinematics.unnest_frames(kinematics.animation_documents(posed))
+    documents = kinematics.document_table(*b.customer_animations(spark, folder))
+    frames = kinematics.unnest_frames(documents)
     return frames.select(
         "animation_id",
         "page",
+        "joint_page",
         "frame_position",
         "time",
         F.size("effectors").alias("effector_count"),

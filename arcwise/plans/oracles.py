@@ -160,13 +160,13 @@ SELECT joint_id, parent_id, {r6('x', 'position_x')}, {r6('y', 'position_y')}, {r
 FROM placed"""
 
 ORACLES["animation_documents"] = POSED + (
-    f"SELECT animation_id, CAST(0 AS INTEGER) AS page, frame_index AS frame_position, {r6('time')},"
-    f" effector_index, {r6('x', 'position_x')}, {r6('y', 'position_y')}, {r6('heading', 'orientation')},"
+    f"SELECT animation_id, CAST(0 AS INTEGER) AS page, CAST(0 AS INTEGER) AS joint_page, frame_index AS frame_position, {r6('time')},"
+    f" effector_index AS effector_position, {r6('x', 'position_x')}, {r6('y', 'position_y')}, {r6('heading', 'orientation')},"
     f" {r6('joint_position_x')}, {r6('joint_orientation')} FROM effectors"
 )
 
 ORACLES["unnest_documents"] = POSED + """
-SELECT animation_id, CAST(0 AS INTEGER) AS page, frame_index AS frame_position, time,
+SELECT animation_id, CAST(0 AS INTEGER) AS page, CAST(0 AS INTEGER) AS joint_page, frame_index AS frame_position, time,
        CAST(count(*) AS INTEGER) AS effector_count, CAST(count(*) AS INTEGER) AS joint_count
 FROM effectors GROUP BY animation_id, frame_index, time"""
 

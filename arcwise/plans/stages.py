@@ -62,11 +62,10 @@ def propose_animations(store: Store, resolution: int = 20) -> None:
 
 
 def animate(store: Store) -> None:
-    """Effectors and documents. The document file covers chains that fit a frame's row."""
     inputs = [store.read(name) for name in ("motions", "motion_joints", "animations", "animation_frames")]
     store.write("animation_joints", kinematics.animation_joints(*inputs))
     store.write("animation_effectors", kinematics.effector_table(*inputs))
-    documents = kinematics.animation_documents(kinematics.posed_frames(*inputs))
+    documents = kinematics.document_table(*inputs)
     store.write_documents("animations", documents.select("animations"))
 
 

@@ -170,6 +170,21 @@ def test_blocks_of_any_size(spark, block):
         assert found == pytest.approx(expected[r["animation_id"], r["frame_id"], r["effector_index"]], abs=1e-9)
 
 
+def test_documents_of_chains_of_any_length(spark):
+    inputs = long_inputs(spark)
+    expected = brute_effectors(inputs)
+    rows = kinematics.unnest_effectors(kinematics.document_table(*inputs, limit=10, block_joints=60))
+    blocks = {}
+    for r in rows.collect():
+        frame = (int(r["animation_id"][5:]) - 1) * 4 + r["page"] * 4096 + r["frame_position"] + 1
+        index = r["joint_page"] * 60 + r["effector_position"]
+        found = (r["position_x"], r["position_y"], r["orientation"])
+        assert found == pytest.approx(expected[r["animation_id"], f"frame_{frame}", index], abs=1e-9)
+        blocks.setdefault(r["animation_id"], set()).add(r["joint_page"])
+    assert rows.count() == len(expected)
+    assert blocks == {"anim_1": {0}, "anim_2": {0}, "anim_3": {0, 1, 2}}
+
+
 def test_large_fan_out_side_is_not_broadcast(spark, monkeypatch, default_run):
     monkeypatch.setattr(kinematics, "SMALL_ENTRIES", 0)
     motions, joints, animations, frames, effectors = default_run

@@ -43,7 +43,7 @@ def test_stored_tables_pass_their_rules(store):
 
 def test_documents_read_back(spark, store):
     documents = read_json(spark, store.path("animations.json"), schemas.ANIMATION_DOCUMENTS)
-    opened = kinematics.unnest_effectors(documents.withColumn("page", F.lit(0)))
+    opened = kinematics.unnest_effectors(documents.withColumns({"page": F.lit(0), "joint_page": F.lit(0)}))
     assert opened.count() == 240
     motions = read_json(spark, store.path("motions.json"), schemas.MOTION_DOCUMENTS).collect()
     assert sorted(m["motions"][0]["id"] for m in motions) == ["motion_0", "motion_1", "motion_2"]
