@@ -47,15 +47,15 @@ def expand_range(rows: DataFrame, count: str, name: str, block: int = BLOCK) ->
     """
     size = F.col(count)
     short = rows.filter((size > 0) & (size <= block)).withColumn(
-        name, F.explode(F.sequence(F.lit(0), size.cast("int") - 1))
+        name, F.explode_outer(F.sequence(F.lit(0), size.cast("int") - 1))
     )
     first = F.col("block_start")
     long = (
         rows.filter(size > block)
-        .withColumn("block_start", F.explode(F.sequence(F.lit(0), size.cast("int") - 1, F.lit(block))))
+        .withColumn("block_start", F.explode_outer(F.sequence(F.lit(0), size.cast("int") - 1, F.lit(block))))
         .transform(spread, *rows.columns, "block_start")
         .withColumn(
-            name, F.explode(F.sequence(first, F.least(first + (block - 1), size.cast("int") - 1)))
+            name, F.explode_outer(F.sequence(first, F.least(first + (block - 1), size.cast("int") - 1)))
         )
         .drop("block_start")
     )

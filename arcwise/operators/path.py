@@ -39,10 +39,14 @@ EFFECTOR_PATHS = PathColumns()
 
 
 def path_points(effectors: DataFrame, frames: DataFrame) -> DataFrame:
-    """Effectors with their frame's time. Effector 0 is left out: it only travels straight on."""
+    """Effectors with their frame's time. Effector 0 is left out: it only travels straight on.
+
+    Frames grow with the effectors and are not to be broadcast, so the join is a merge.
+    """
+    frame = frames.select("animation_id", "frame_id", "time").hint("merge")
     return (
         effectors.filter(F.col("effector_index") != 0)
-        .join(frames.select("animation_id", "frame_id", "time"), ["animation_id", "frame_id"])
+        .join(frame, ["animation_id", "frame_id"])
         .select(
             "animation_id",
             "effector_index",

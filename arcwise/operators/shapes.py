@@ -25,12 +25,13 @@ LOWER, UPPER = "positive", "negative"
 def fan_in(points: DataFrame, features: list[DataFrame], on: list[str]) -> DataFrame:
     """Left-join stored feature tables to their points, one shuffle per table.
 
-    Where the features can still be computed from the points, ``path.feature_table`` gives the same
+    Features are about as many as points, so sorting and merging is asked for: they must not be
+    broadcast when their size is misjudged. Where the features can still be computed from the points, ``path.feature_table`` gives the same
     rows without any of these joins.
     """
     joined = points
     for table in features:
-        joined = joined.join(table, on, "left")
+        joined = joined.join(table.hint("merge"), on, "left")
     return joined
 
 
@@ -44,9 +45,8 @@ def fan_in_effectors(
 ) -> DataFrame:
     """Effectors as x, y with their time and all path features."""
     named = effectors.withColumnsRenamed({"effector_position_x": "x", "effector_position_y": "y"})
-    timed = named.join(
-        frames.select("animation_id", "frame_id", "frame_index", "time"), ["animation_id", "frame_id"], "left"
-    )
+    frame = frames.select("animation_id", "frame_id", "frame_index", "time").hint("merge")
+    timed = named.join(frame, ["animation_id", "frame_id"], "left")
     return fan_in(
         timed, [curvatures, peaks, tangents, bisectors], ["animation_id", "frame_id", "effector_index"]
     )
@@ -110,13 +110,13 @@ def poses(
 def unnest_lines(lines: DataFrame) -> DataFrame:
     """One row per point of polylines or poses, with the places of line and point."""
     kept = [name for name in lines.columns if name != "lines"]
-    opened = lines.select(*kept, F.posexplode("lines").alias("line_position", "line"))
+    opened = lines.select(*kept, F.posexplode_outer("lines").alias("line_position", "line"))
     label = [name for name in opened.schema["line"].dataType.names if name != "points"]
     return opened.select(
         *kept,
         "line_position",
         *[F.col(f"line.{name}").alias(name) for name in label],
-        F.posexplode("line.points").alias("point_position", "point"),
+        F.posexplode_outer("line.points").alias("point_position", "point"),
     ).select(*kept, "line_position", *label, "point_position", "point.*")
 
 
@@ -153,7 +153,7 @@ def curvature_series(
 
 def unnest_pages(pages: DataFrame) -> DataFrame:
     kept = [name for name in pages.columns if name != "points"]
-    return pages.select(*kept, F.posexplode("points").alias("point_position", "point")).select(
+    return pages.select(*kept, F.posexplode_outer("points").alias("point_position", "point")).select(
         *kept, "point_position", "point.*"
     )
 

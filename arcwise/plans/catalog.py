@@ -324,11 +324,7 @@ def curvature_normalised(spark, folder):
 @query
 def effector_polylines(spark, folder):
     inputs = b.customer_animations(spark, folder)
-    points = shapes.fan_in(
-        kinematics.effector_table(*inputs),
-        [inputs[3].select("animation_id", "frame_id", "frame_index", "time")],
-        ["animation_id", "frame_id"],
-    )
+    points = kinematics.effector_table(*inputs, keep=("frame_index", "time"))
     lines = shapes.polylines(points, ["time", "effector_position_x", "effector_position_y"])
     return _six(shapes.unnest_lines(lines), "time")
 
@@ -336,11 +332,7 @@ def effector_polylines(spark, folder):
 @query
 def frame_poses(spark, folder):
     inputs = b.customer_animations(spark, folder)
-    points = shapes.fan_in(
-        kinematics.effector_table(*inputs),
-        [inputs[3].select("animation_id", "frame_id", "frame_index", "time")],
-        ["animation_id", "frame_id"],
-    )
+    points = kinematics.effector_table(*inputs, keep=("frame_index", "time"))
     lines = shapes.poses(points, ["effector_index", "effector_position_x", "effector_position_y"])
     return _six(shapes.unnest_lines(lines), "time")
 
