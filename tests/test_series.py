@@ -54,21 +54,21 @@ def test_nothing_is_cut_below_the_limit(points):
     assert split_series(points, ("k",), COLUMNS.order, max_rows=None).cut is None
 
 
-@pytest.mark.parametrize("max_rows", [5, 60])
 @pytest.mark.parametrize(
-    "analyse",
+    ("analyse", "max_rows"),
     [
-        path.curvatures,
-        path.tangents,
-        path.bisectors,
-        path.turning_angles,
-        path.path_peaks,
-        path.path_knots,
-        path.feature_table,
-        shapes.path_segments,
-        state.state_features,
+        (path.curvatures, 60),
+        (path.tangents, 60),
+        (path.bisectors, 60),
+        (path.turning_angles, 60),
+        (path.path_peaks, 60),
+        (path.path_knots, 60),
+        (path.path_knots, 5),
+        (path.feature_table, 60),
+        (path.feature_table, 5),
+        (shapes.path_segments, 60),
+        (state.state_features, 60),
     ],
-    ids=lambda f: f.__name__,
 )
 def test_cut_series_give_the_same_rows(points, analyse, max_rows):
     assert rows_of(analyse(points, COLUMNS, max_rows=max_rows)) == rows_of(

@@ -10,7 +10,7 @@ from arcwise import schemas
 from arcwise.operators import kinematics, shapes
 from arcwise.plans import stages
 from arcwise.session import scratch_path, scratch_root
-from arcwise.sources.files import Source, load_sources, read_json
+from arcwise.sources.files import Source, load_sources, read_json, register_views
 
 
 @pytest.fixture(scope="module")
@@ -81,6 +81,8 @@ def test_lines_in_small_pages_hold_the_same_points(store):
 def test_named_sources(spark, store):
     tables = load_sources(spark, [Source("motions", store.path("motions.csv"), schemas.MOTIONS)])
     assert tables["motions"].count() == 3
+    register_views(tables)
+    assert spark.sql("SELECT count(*) FROM motions").first()[0] == 3
     with pytest.raises(ValueError, match="unknown format"):
         load_sources(spark, [Source("x", "nowhere", format="xml")])
 
