@@ -68,6 +68,30 @@ def sweep(joints: DataFrame, resolution: int) -> tuple[DataFrame, DataFrame]:
 FEATURE_FLAGS = ("is_positive_peak", "is_negative_peak", "is_crossover")
 
 
+def refinable(features: DataFrame, animations: DataFrame, frames: DataFrame) -> DataFrame:
+    """Measured samples as ``refine`` wants them, from the features of effector paths."""
+    ends = frames.groupBy("animation_id").agg(F.max("time").alias("end_frame_time"))
+    grid = (
+        frames.join(animations.select("animation_id", "resolution"), "animation_id")
+        .join(ends, "animation_id")
+        .select("animation_id", "frame_id", "lod_index", "frame_index", "resolution", "end_frame_time")
+    )
+    # Grids have a row per frame and grow with the features, so the two are merged.
+    return features.join(grid.hint("merge"), ["animation_id", "frame_id"]).select(
+        "animation_id",
+        "effector_index",
+        "lod_index",
+        "frame_index",
+        "time",
+        "resolution",
+        "end_frame_time",
+        F.col("effector_position_x").alias("x"),
+        F.col("effector_position_y").alias("y"),
+        "curvature",
+        *FEATURE_FLAGS,
+    )
+
+
 def _pivots(samples: DataFrame) -> DataFrame:
     """Samples at a peak or crossover, moved to the grid of the next level of detail.
 

@@ -21,6 +21,7 @@ TABLES = {
     "path_tangents": schemas.PATH_TANGENTS,
     "path_bisectors": schemas.PATH_BISECTORS,
     "spline_knots": schemas.SPLINE_KNOTS,
+    "refined_frames": schemas.REFINED_FRAMES,
 }
 
 
@@ -55,7 +56,16 @@ def build_motions(store: Store) -> None:
     store.write_documents("motions", motion.motion_documents(motions, joints).select("motions"))
 
 
-def propose_animations(store: Store, resolution: int = 20) -> None:
+def propose_animations(store: Store, mode: str = "sweep", resolution: int = 20) -> None:
+    """``sweep``: a uniform grid for every motion. ``refine``: finer frames around path features."""
+    if mode == "refine":
+        animations, frames = store.read("animations"), store.read("animation_frames")
+        features = path.feature_table(path.path_points(store.read("animation_effectors"), frames))
+        refined = sweep.refine(sweep.refinable(features, animations, frames))
+        store.write("refined_frames", refined.select(*schemas.REFINED_FRAMES.names))
+        return
+    if mode != "sweep":
+        raise ValueError(f"unknown mode {mode!r}; known: sweep, refine")
     animations, frames = sweep.sweep(store.read("motion_joints"), resolution)
     store.write("animations", animations)
     store.write("animation_frames", frames)
@@ -120,7 +130,7 @@ def run_all(spark: SparkSession, folder: str, motion_count: int = 1, resolution:
     store = Store(spark, folder)
     propose_motions(store, motion_count)
     build_motions(store)
-    propose_animations(store, resolution)
+    propose_animations(store, resolution=resolution)
     animate(store)
     analyse_paths(store)
     return store

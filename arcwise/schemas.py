@@ -57,6 +57,23 @@ PATH_TANGENTS = _table(*_PATH_KEY, ("tangent", _D))
 PATH_BISECTORS = _table(*_PATH_KEY, ("bisector_x", _D), ("bisector_y", _D))
 SPLINE_KNOTS = _table(*_PATH_KEY, ("knot_index", _I))
 
+REFINED_FRAMES = _table(
+    ("animation_id", _S),
+    ("effector_index", _I),
+    ("lod_index", _I),
+    ("frame_index", _I),
+    ("time", _D),
+    ("resolution", _I),
+    ("x", _D),
+    ("y", _D),
+    ("curvature", _D),
+    ("is_positive_peak", T.BooleanType()),
+    ("is_negative_peak", T.BooleanType()),
+    ("is_crossover", T.BooleanType()),
+    ("time_factor", _D),
+    ("h", _D),
+)
+
 STATE_PARAMS = _table(("state_id", _S), ("param_value", _D), ("param_name", _S))
 
 MOTION_DOCUMENTS = _table(

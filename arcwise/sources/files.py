@@ -14,8 +14,10 @@ from pyspark.sql import types as T
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    # FAILFAST: a row that does not fit its declared types must not turn into NULLs unseen.
-    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+    # A row that does not fit its declared types must not turn into NULLs unseen, and columns in
+    # another order than declared must not be taken for each other.
+    options = {"header": True, "mode": "FAILFAST", "enforceSchema": False}
+    return spark.read.schema(schema).options(**options).csv(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

@@ -14,13 +14,16 @@ COLUMNS = PathColumns(keys=("k",), time="time", tie="id", x="x", y="y")
 
 @pytest.fixture(scope="module")
 def points(spark):
-    """One series with a third of all rows, one without a key, tied times, many short ones."""
+    """One series with a third of all rows, one without a key, tied and missing times, many short ones."""
     rng = random.Random(7)
     rows, number = [], 0
     for key, size in [(0, 900), (None, 700)] + [(k, rng.randint(1, 40)) for k in range(1, 50)]:
         for _ in range(size):
             time = float(rng.randint(0, 300)) if key in (0, 3) else rng.random()
-            rows.append((key, number, time, rng.random(), rng.random() - 0.5))
+            if key == 0 and rng.random() < 0.02:
+                time = None
+            x = None if key == 0 and rng.random() < 0.02 else rng.random()
+            rows.append((key, number, time, x, rng.random() - 0.5))
             number += 1
     rng.shuffle(rows)
     schema = "k bigint, id bigint, time double, x double, y double"
@@ -44,7 +47,7 @@ def test_long_series_are_cut_and_short_ones_are_not(points):
 
 def test_chunks_follow_the_order(points):
     rows = split_series(points, ("k",), COLUMNS.order, max_rows=60).cut.filter("k = 0").collect()
-    rows.sort(key=lambda r: (r["time"], r["id"]))
+    rows.sort(key=lambda r: (r["time"] is not None, r["time"] or 0.0, r["id"]))
     chunks = [r[CHUNK] for r in rows]
     assert chunks == sorted(chunks) and chunks[0] == 0
 
@@ -111,20 +114,20 @@ def test_pages_hold_every_point_once_and_in_order(points):
     assert pages.filter(F.size("points") > 50).count() == 0
     opened = shapes.unnest_pages(pages).filter("k = 0").collect()
     opened.sort(key=lambda r: (r["page"], r["point_position"]))
-    order = [(r["time"], r["id"]) for r in opened]
+    order = [(r["time"] is not None, r["time"] or 0.0, r["id"]) for r in opened]
     assert len(order) == 900 and order == sorted(order)
 
 
 def test_number_and_neighbours_by_brute_force(points):
     by_key = {}
     for row in points.collect():
-        by_key.setdefault(row["k"], []).append((row["time"], row["id"]))
+        by_key.setdefault(row["k"], []).append((row["time"] is not None, row["time"] or 0.0, row["id"]))
     expected = {}
     for rows in by_key.values():
         rows.sort()
-        for place, (_, number) in enumerate(rows):
-            before = rows[place - 1][1] if place else None
-            after = rows[place + 1][1] if place + 1 < len(rows) else None
+        for place, (*_, number) in enumerate(rows):
+            before = rows[place - 1][-1] if place else None
+            after = rows[place + 1][-1] if place + 1 < len(rows) else None
             expected[number] = (place, before, after, len(rows))
     series = (
         split_series(points, ("k",), COLUMNS.order, max_rows=30)
