@@ -63,7 +63,7 @@ def path_points(effectors: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def with_neighbours(
-    points: DataFrame, columns: PathColumns = EFFECTOR_PATHS, max_rows: int | None = MAX_ROWS
+    points: DataFrame | Series, columns: PathColumns = EFFECTOR_PATHS, max_rows: int | None = MAX_ROWS
 ) -> Series:
     """Points as series, each with the position before (prev_x/_y) and after it (next_x/_y)."""
     series = split_series(points, columns.keys, columns.order, max_rows)
@@ -97,23 +97,23 @@ def directions(columns: PathColumns = EFFECTOR_PATHS) -> dict[str, Column]:
 _DIRECTIONS = ("back_x", "back_y", "ahead_x", "ahead_y")
 
 
-def curvatures(points: DataFrame, columns: PathColumns = EFFECTOR_PATHS, max_rows=MAX_ROWS) -> DataFrame:
+def curvatures(points: DataFrame | Series, columns: PathColumns = EFFECTOR_PATHS, max_rows=MAX_ROWS) -> DataFrame:
     series = with_neighbours(points, columns, max_rows)
     return series.table().select(*columns.point, curvature(columns).alias("curvature"))
 
 
-def tangents(points: DataFrame, columns: PathColumns = EFFECTOR_PATHS, max_rows=MAX_ROWS) -> DataFrame:
+def tangents(points: DataFrame | Series, columns: PathColumns = EFFECTOR_PATHS, max_rows=MAX_ROWS) -> DataFrame:
     series = with_neighbours(points, columns, max_rows)
     return series.table().select(*columns.point, tangent(columns).alias("tangent"))
 
 
-def bisectors(points: DataFrame, columns: PathColumns = EFFECTOR_PATHS, max_rows=MAX_ROWS) -> DataFrame:
+def bisectors(points: DataFrame | Series, columns: PathColumns = EFFECTOR_PATHS, max_rows=MAX_ROWS) -> DataFrame:
     rows = with_neighbours(points, columns, max_rows).table().withColumns(directions(columns))
     x, y = g.bisector(*map(F.col, _DIRECTIONS))
     return rows.select(*columns.point, x.alias("bisector_x"), y.alias("bisector_y"))
 
 
-def turning_angles(points: DataFrame, columns: PathColumns = EFFECTOR_PATHS, max_rows=MAX_ROWS) -> DataFrame:
+def turning_angles(points: DataFrame | Series, columns: PathColumns = EFFECTOR_PATHS, max_rows=MAX_ROWS) -> DataFrame:
     """Angle between the directions back and ahead, its share of a half turn, and a weight."""
     rows = with_neighbours(points, columns, max_rows).table().withColumns(directions(columns))
     angle = rows.select(*columns.point, g.angle_between(*map(F.col, _DIRECTIONS)).alias("turning_angle"))
@@ -163,7 +163,7 @@ def flag_peaks(series: Series, digits: int | None = None) -> Series:
     return flag_crossovers(flag_extrema(settled, digits), digits).with_columns({"peak_type": label})
 
 
-def _curved(points: DataFrame, columns: PathColumns, max_rows: int | None) -> Series:
+def _curved(points: DataFrame | Series, columns: PathColumns, max_rows: int | None) -> Series:
     series = with_neighbours(points, columns, max_rows)
     return series.select(*columns.point, curvature(columns).alias("curvature"))
 
@@ -180,7 +180,7 @@ def peaks(
 
 
 def path_peaks(
-    points: DataFrame,
+    points: DataFrame | Series,
     columns: PathColumns = EFFECTOR_PATHS,
     digits: int | None = None,
     max_rows: int | None = MAX_ROWS,
@@ -220,7 +220,7 @@ def _inside(columns: PathColumns) -> Column:
 
 
 def path_knots(
-    points: DataFrame,
+    points: DataFrame | Series,
     columns: PathColumns = EFFECTOR_PATHS,
     digits: int | None = None,
     max_rows: int | None = MAX_ROWS,
@@ -251,7 +251,7 @@ def knots(
 
 
 def feature_series(
-    points: DataFrame,
+    points: DataFrame | Series,
     columns: PathColumns = EFFECTOR_PATHS,
     digits: int | None = None,
     max_rows: int | None = MAX_ROWS,
@@ -274,7 +274,7 @@ def feature_series(
 
 
 def feature_table(
-    points: DataFrame,
+    points: DataFrame | Series,
     columns: PathColumns = EFFECTOR_PATHS,
     digits: int | None = None,
     max_rows: int | None = MAX_ROWS,
@@ -295,7 +295,7 @@ class PathTables(dict[str, DataFrame]):
 
 
 def path_tables(
-    points: DataFrame,
+    points: DataFrame | Series,
     columns: PathColumns = EFFECTOR_PATHS,
     digits: int | None = None,
     max_rows: int | None = MAX_ROWS,

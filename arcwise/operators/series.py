@@ -158,15 +158,18 @@ class Series:
 
 
 def split_series(
-    points: DataFrame,
+    points: DataFrame | Series,
     keys: tuple[str, ...],
     order: tuple[str, ...],
     max_rows: int | None = MAX_ROWS,
 ) -> Series:
     """Wrap ``points`` as series, cutting those longer than ``max_rows`` into chunks.
 
-    ``max_rows=None`` skips the measuring pass, for data known to hold short series only.
+    ``max_rows=None`` skips the measuring pass, for data known to hold short series only. What is
+    split already is taken as it is, so several analyses of the same points can share one split.
     """
+    if isinstance(points, Series):
+        return points
     keys, order = tuple(keys), tuple(order)
     if max_rows is None:
         return Series(points, keys, order)

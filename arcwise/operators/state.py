@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from arcwise.functions import geometry as g
 from arcwise.operators.path import EFFECTOR_PATHS, PathColumns, curvature, flag_crossovers, with_neighbours
-from arcwise.operators.series import MAX_ROWS
+from arcwise.operators.series import MAX_ROWS, Series
 
 # -- state parameters ---------------------------------------------------------------------------
 
@@ -105,7 +105,7 @@ def with_defaults(state: DataFrame, variables: tuple[StateVariable, ...] = STATE
 
 
 def state_features(
-    points: DataFrame,
+    points: DataFrame | Series,
     columns: PathColumns = EFFECTOR_PATHS,
     digits: int | None = None,
     max_rows: int | None = MAX_ROWS,

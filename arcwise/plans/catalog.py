@@ -305,12 +305,13 @@ def feature_table(spark, folder):
 @query
 def feature_fan_in(spark, folder):
     points = b.event_points(spark, folder)
+    series = split_series(points, EVENT_PATHS.keys, EVENT_PATHS.order)
     on = ["user_id", "event_id"]
     features = [
-        path.curvatures(points, EVENT_PATHS),
-        path.path_peaks(points, EVENT_PATHS, COMPARE_DIGITS),
-        path.tangents(points, EVENT_PATHS),
-        path.bisectors(points, EVENT_PATHS),
+        path.curvatures(series, EVENT_PATHS),
+        path.path_peaks(series, EVENT_PATHS, COMPARE_DIGITS),
+        path.tangents(series, EVENT_PATHS),
+        path.bisectors(series, EVENT_PATHS),
     ]
     return _six(shapes.fan_in(points, [table.drop("time") for table in features], on))
 

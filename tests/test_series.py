@@ -137,3 +137,9 @@ def test_number_and_neighbours_by_brute_force(points):
     )
     found = {r["id"]: (r["place"], r["before"], r["after"], r["size"]) for r in series.table().collect()}
     assert found == expected
+
+
+def test_one_split_serves_several_analyses(points):
+    shared = split_series(points, ("k",), COLUMNS.order, max_rows=60)
+    for analyse in (path.curvatures, path.path_peaks):
+        assert rows_of(analyse(shared, COLUMNS)) == rows_of(analyse(points, COLUMNS, max_rows=None))
