@@ -116,9 +116,9 @@ def test_long_ranges_are_blocks(spark):
     assert {k: sorted(v) for k, v in found.items()} == {"a": list(range(25)), "b": [0, 1, 2], "d": list(range(10))}
 
 
-def long_inputs(spark):
+def long_inputs(spark, counts=(3, 40, 150)):
     proposals = spark.createDataFrame(
-        [("motion_0", 3), ("motion_1", 40), ("motion_2", 150)], "motion_id string, joint_count int"
+        [(f"motion_{i}", count) for i, count in enumerate(counts)], "motion_id string, joint_count int"
     )
     motions, joints = motion.motion_roots(proposals), motion.motion_joints(proposals)
     joints = joints.withColumn("orientation_phase_offset", F.col("joint_index") * 0.1)
@@ -159,6 +159,19 @@ def test_chains_of_any_length(spark, limit):
         assert found == pytest.approx(expected[r["animation_id"], r["frame_id"], r["effector_index"]], abs=1e-9)
 
 
+@pytest.mark.parametrize("longest", [1, 2, 8, 9])
+def test_short_chains_by_both_routes(spark, longest):
+    inputs = long_inputs(spark, range(1, longest + 1))
+    expected = brute_effectors(inputs)
+    posed = kinematics.posed_frames(*inputs)
+    rows = kinematics.explode_effectors(posed).collect()
+    assert len(rows) == len(expected)
+    for r in rows:
+        found = (r["effector_position_x"], r["effector_position_y"], r["effector_orientation"])
+        assert found == pytest.approx(expected[r["animation_id"], r["frame_id"], r["effector_index"]], abs=1e-12)
+    assert posed.filter(F.size("joints") != F.size("effectors")).count() == 0
+
+
 @pytest.mark.parametrize("block", [1, 7, 4096])
 def test_blocks_of_any_size(spark, block):
     inputs = long_inputs(spark)
