@@ -5,21 +5,74 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcwise.llm import conversations, exact, matrix, packing, simhash, tokens
+from arcwise.llm import (
+    conversations,
+    decontaminate,
+    exact,
+    grading,
+    language,
+    matrix,
+    packing,
+    passages,
+    secrets,
+    simhash,
+    tokens,
+)
 from arcwise.llm.frames import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+KEEP_CHANCE = 0.4
+"""Least probability of the highest grade (good and not toxic) with which a document is kept."""
+
+
+def op1_chained_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, folder, "documents"))
+
+
+def op2_cgk_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op3_language_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.fit(docs.filter(~language.held_out(F.col("doc_id"))))
+    predicted = language.predict(docs, model)
+    return predicted.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Even ids stand for the snapshot, odd and null ids for what comes in."""
     docs = table(spark, folder, "documents")
     return exact.exact_groups(docs, F.col("doc_id") % 2 == 0).drop("row_id")
 
 
+def quality_grades(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Grades of all documents by a model fitted on the labelled ones: 0 poor, 1 toxic, 2 good."""
+    grader = grading.fit(docs, labels, grading.label_grade(), grades=3)
+    return grading.graded(docs, grader).withColumn("kept", F.get("tails", F.lit(1)) >= KEEP_CHANCE)
+
+
+def op5_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
+    graded = quality_grades(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    tails = [F.get("tails", F.lit(k)).alias(f"p_grade_above_{k}") for k in range(2)]
+    return graded.select("doc_id", "expected_grade", *tails, "kept")
+
+
+def op6_secret_lexer(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.secret_spans(table(spark, folder, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda span: span["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, "base_sha256", F.col("joined").alias("spans"))
+
+
 def op7_bestfit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(tokens.cut_documents(table(spark, folder, "documents"), BYTE_BPE))
 
@@ -37,7 +90,12 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chained_passages": op1_chained_passages,
+    "op2_cgk_decontamination": op2_cgk_decontamination,
+    "op3_language_backoff": op3_language_backoff,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_ordinal_quality": op5_ordinal_quality,
+    "op6_secret_lexer": op6_secret_lexer,
     "op7_bestfit_packing": op7_bestfit_packing,
     "op8_packed_matrices": op8_packed_matrices,
     "op9_simhash": op9_simhash,
