@@ -87,10 +87,27 @@ LINKS = T.StructType(
 )
 
 
-def _links_of(value_fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of fingerprints within the radius, from at most PAIRED of them."""
-    apart = np.bitwise_count(value_fps[:, None] ^ value_fps[None, :])
-    return np.nonzero(np.triu(apart <= radius, 1))
+def _links_of(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
+    """Index pairs within the radius that join all such pairs of at most PAIRED fingerprints.
+
+    A spanning forest: fewer pairs than fingerprints, whatever the size of a group.
+    """
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
+    one, two = [], []
+    left = np.ones(len(fps), bool)
+    for root in range(len(fps)):
+        if not left[root]:
+            continue
+        left[root] = False
+        open_ones = [root]
+        while open_ones:
+            own = open_ones.pop()
+            reached = np.flatnonzero(near[own] & left)
+            left[reached] = False
+            one.extend([own] * len(reached))
+            two.extend(reached.tolist())
+            open_ones.extend(reached.tolist())
+    return one, two
 
 
 def _verify(radius: int, paired: int):
