@@ -27,6 +27,7 @@ BLOCK_WORDS = 400_000  # words of benchmark items that are searched for in one p
 CLASS_STEP = 1.35
 GRAM_BITS, KEY_BITS = 22, 18
 SLICE_STARTS = 200_000
+SEARCHED_TEXTS = 256
 MIX = 0x9E3779B97F4A7C15
 
 
@@ -95,12 +96,17 @@ class Index:
             if words:
                 self.items.append((key, [self.vocabulary[word] for word in words]))
         sizes = [len(words) for _, words in self.items] or [1]
-        self.reach = max(sizes) + edits_of(max(sizes))
-        self.grams: dict[int, np.ndarray] = {}
+        # For each run of words: how far before it a window of its items may start, at least and at most.
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for _, words in self.items:
-            q = min(3, len(words) // (edits_of(len(words)) + 1))
-            table = self.grams.setdefault(q, np.zeros(1 << GRAM_BITS, bool))
-            table[self._grams(np.array(words, np.int64), q)] = True
+            edits = edits_of(len(words))
+            q = min(3, len(words) // (edits + 1))
+            if q not in self.grams:
+                self.grams[q] = (np.full(1 << GRAM_BITS, 1 << 30, np.int32), np.full(1 << GRAM_BITS, -(1 << 30), np.int32))
+            grams = self._grams(np.array(words, np.int64), q)
+            places = np.arange(len(grams), dtype=np.int32)
+            np.minimum.at(self.grams[q][0], grams, places - edits)
+            np.maximum.at(self.grams[q][1], grams, places + edits)
         classes, size = [], min(sizes)
         while size <= max(sizes):
             classes.append(size)
@@ -161,12 +167,13 @@ class Index:
     def starts(self, ids: np.ndarray) -> np.ndarray:
         """Starts of the windows that may hold an item."""
         change = np.zeros(len(ids) + 1, np.int64)
-        for q, table in self.grams.items():
+        for q, (least, most) in self.grams.items():
             grams = self._grams(ids, q)
             if len(grams):
-                hit = np.flatnonzero(table[grams] & (ids[: len(grams)] > 0))
-                np.add.at(change, np.maximum(hit - self.reach, 0), 1)
-                np.add.at(change, hit + 1, -1)
+                hit = np.flatnonzero((most[grams] > -(1 << 30)) & (ids[: len(grams)] > 0))
+                own = grams[hit]
+                np.add.at(change, np.clip(hit - most[own], 0, len(ids)), 1)
+                np.add.at(change, np.clip(hit - least[own] + 1, 0, len(ids)), -1)
         return np.flatnonzero(np.cumsum(change[:-1]) > 0)
 
     def search(self, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -262,19 +269,28 @@ def _searcher(shared, schema):
         get = index.vocabulary.__getitem__
         for batch in batches:
             rows, columns = [], [[] for _ in range(7)]
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                words = words_of(text) if text else []
-                if not words or not index.items:
-                    continue
-                ids = np.fromiter(map(get, words), np.int64, len(words))
-                found = index.search(ids)
-                if not found:
-                    continue
-                places = [m.span() for m in WORD.finditer(text)] if len(text.lower()) == len(text) else None
-                for item, start, end, distance in found:
+            texts = batch.column(1).to_pylist() if index.items else []
+            for low in range(0, len(texts), SEARCHED_TEXTS):
+                # Texts are searched together, apart by more unknown words than a walk has steps.
+                own = texts[low : low + SEARCHED_TEXTS]
+                sizes, parts = [], []
+                for text in own:
+                    words = words_of(text) if text else []
+                    parts += [np.fromiter(map(get, words), np.int64, len(words)), np.zeros(index.steps + 1, np.int64)]
+                    sizes.append(len(words))
+                begins = np.cumsum([0] + [size + index.steps + 1 for size in sizes])
+                places: dict[int, list] = {}
+                for item, start, end, distance in index.search(np.concatenate(parts)):
+                    at = int(np.searchsorted(begins, start, side="right")) - 1
+                    start, end = start - int(begins[at]), min(end - int(begins[at]), sizes[at])
+                    text = own[at]
+                    if at not in places:
+                        same = len(text.lower()) == len(text)
+                        places[at] = [m.span() for m in WORD.finditer(text)] if same else []
+                    known = places[at] if end <= len(places[at]) else None
                     key, pattern = index.items[item]
-                    rows.append(row)
-                    spans = (places[start][0], places[end - 1][1]) if places and end <= len(places) else (None, None)
+                    spans = (known[start][0], known[end - 1][1]) if known else (None, None)
+                    rows.append(low + at)
                     values = (key, start, end, *spans, distance, 1 - distance / len(pattern))
                     for column, value in zip(columns, values, strict=True):
                         column.append(value)
