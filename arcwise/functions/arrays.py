@@ -24,9 +24,13 @@ def ordered_list(order: list[str], fields: list[Column]) -> Column:
     return F.transform(F.array_sort(F.collect_list(packed)), lambda entry: entry["item"])
 
 
-def trailing_number(text: Column) -> Column:
-    """The number at the end of ids such as ``motion_12``, NULL if there is none."""
-    return F.regexp_extract(text, "_([0-9]{1,18})$", 1).try_cast("bigint")
+def motion_number(text: Column) -> Column:
+    """The number of ids that are exactly ``motion_0``, ``motion_1`` and so on, NULL for all others.
+
+    Leading zeros, other names and more than 12 digits are no numbers, so that equal numbers mean
+    equal ids and a number times the frames of a grid stays a BIGINT.
+    """
+    return F.regexp_extract(text, "^motion_(0|[1-9][0-9]{0,11})$", 1).try_cast("bigint")
 
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:

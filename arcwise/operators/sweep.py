@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcwise.functions.arrays import expand_range, spread, trailing_number
+from arcwise.functions.arrays import expand_range, motion_number, spread
 
 TOTAL_TIME = 1.0
 
@@ -22,9 +22,13 @@ def time_step(frames: int) -> float:
 
 
 def _animation_id() -> Column:
-    """Named after the motion's own number, so ids are unique without ranking all motions."""
-    number = trailing_number(F.col("motion_id"))
-    return F.concat(F.lit("anim_"), F.coalesce((number + 1).cast("string"), F.col("motion_id")))
+    """Named after the motion's own number, so ids are unique without ranking all motions.
+
+    A motion without one gives ``anim_id:`` and its id, which no number can look like.
+    """
+    number = motion_number(F.col("motion_id"))
+    named = F.concat(F.lit("id:"), F.col("motion_id"))
+    return F.concat(F.lit("anim_"), F.coalesce((number + 1).cast("string"), named))
 
 
 def sweep_animations(joints: DataFrame, resolution: int) -> DataFrame:
@@ -43,7 +47,9 @@ def sweep_frames(animations: DataFrame, resolution: int, lod_index: int = 0) ->
     depend on how the data is partitioned.
     """
     frames = frame_count(resolution, lod_index)
-    number = F.coalesce(trailing_number(F.col("motion_id")), F.lit(0))
+    number = motion_number(F.col("motion_id"))
+    counted = (number * frames + F.col("frame_index") + 1).cast("string")
+    named = F.concat(F.lit("id:"), F.col("motion_id"), F.lit(":"), F.col("frame_index") + 1)
     grid = expand_range(
         spread(animations.select("animation_id", "motion_id"), "animation_id").withColumn(
             "frames", F.lit(frames)
@@ -56,7 +62,7 @@ def sweep_frames(animations: DataFrame, resolution: int, lod_index: int = 0) ->
         F.lit(lod_index).alias("lod_index"),
         "frame_index",
         (F.col("frame_index").cast("double") * F.lit(time_step(frames))).alias("time"),
-        F.concat(F.lit("frame_"), number * frames + F.col("frame_index") + 1).alias("frame_id"),
+        F.concat(F.lit("frame_"), F.coalesce(counted, named)).alias("frame_id"),
     )
 
 

@@ -40,10 +40,10 @@ def _six(rows: DataFrame, *keep: str) -> DataFrame:
 
 @query
 def csv_round_trip(spark, folder):
-    customers = b.table(spark, folder, "customer")
-    target = scratch_path(spark, "customer-csv")
-    write_csv(customers, target)
-    return read_csv(spark, target, customers.schema)
+    documents = b.table(spark, folder, "documents")
+    target = scratch_path(spark, "documents-csv")
+    write_csv(documents, target, multi_line=True)
+    return read_csv(spark, target, documents.schema, multi_line=True)
 
 
 @query

@@ -15,7 +15,7 @@ def r6(expression: str, name: str | None = None) -> str:
 
 # -- files --------------------------------------------------------------------------------------
 
-ORACLES["csv_round_trip"] = "SELECT * FROM customer"
+ORACLES["csv_round_trip"] = "SELECT * FROM documents"
 ORACLES["json_round_trip"] = "SELECT * FROM part"
 
 # -- motions ------------------------------------------------------------------------------------

@@ -28,7 +28,8 @@ def build_session(app_name: str, master: str | None = None, **settings: str) ->
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where nothing is set, as in tests on one machine, is a temporary folder taken instead.
+    Only where nothing is set on a local master, as in tests, is a temporary folder taken instead;
+    on a cluster that is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -38,6 +39,9 @@ def scratch_root(spark: SparkSession) -> str:
         return named
     current = context.getCheckpointDir()
     if current is None:
+        # Executors on other machines would not see a folder of the driver.
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="arcwise-"))
         current = context.getCheckpointDir()
     return current

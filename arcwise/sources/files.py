@@ -10,13 +10,26 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+# Text comes back as it was written: outer spaces stay, quotes are doubled, backslashes mean nothing.
+# An empty field is NULL and a quoted empty one is "". The reader marks the former with a
+# character that no text table holds, so that it can tell the two apart.
+CSV_QUOTES = {"quote": '"', "escape": '"'}
+CSV_SPACES = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+EMPTY_FIELD = "\x00"
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = False
+) -> DataFrame:
+    """``multi_line`` reads fields with line breaks; a file is then read by one task."""
     # A row that does not fit its declared types must not turn into NULLs unseen, and columns in
     # another order than declared must not be taken for each other.
-    options = {"header": True, "mode": "FAILFAST", "enforceSchema": False}
+    options = {"header": True, "mode": "FAILFAST", "enforceSchema": False, "multiLine": multi_line}
+    options |= {"nullValue": EMPTY_FIELD, "emptyValue": "", **CSV_QUOTES, **CSV_SPACES}
     return spark.read.schema(schema).options(**options).csv(path)
 
 
@@ -24,8 +37,18 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def write_csv(table: DataFrame, path: str) -> None:
-    table.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(table: DataFrame, path: str, multi_line: bool = False) -> None:
+    """A text with a line break is refused unless ``multi_line`` says that it is read that way."""
+    if not multi_line:
+        broken = F.raise_error(F.lit("a text holds a line break; write and read it with multi_line"))
+        table = table.withColumns(
+            {
+                field.name: F.when(F.col(f"`{field.name}`").rlike("[\\r\\n]"), broken).otherwise(F.col(f"`{field.name}`"))
+                for field in table.schema
+                if isinstance(field.dataType, T.StringType)
+            }
+        )
+    table.write.mode("overwrite").options(header=True, emptyValue='""', **CSV_QUOTES, **CSV_SPACES).csv(path)
 
 
 def write_json(table: DataFrame, path: str) -> None:

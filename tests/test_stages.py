@@ -108,6 +108,8 @@ def test_named_sources(spark, store):
 class _Settings:
     """A session's settings, with or without a named checkpoint folder."""
 
+    master = "local[8]"
+
     def __init__(self, named=None):
         self.named, self.checkpoint_dir = named, None
         self.conf = self.sparkContext = self
