@@ -22,6 +22,7 @@ from arcwise.llm import (
     tokens,
 )
 from arcwise.llm.frames import table
+from arcwise.llm.oracles import LLM_ORACLES
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -101,4 +102,5 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_chat_format": op10_chat_format,
 }
-LLM_ORACLES: dict[str, str] = {}
+
+__all__ = ["LLM_ORACLES", "LLM_QUERIES"]
