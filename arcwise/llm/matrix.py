@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arcwise.llm.frames import batch_of, map_batches
-from arcwise.llm.tokens import encoder, piece_bounds
+from arcwise.llm.tokens import TEXTS_AT_ONCE, encoder, piece_bounds
 
 BLOCK_IDS = 2_000_000
 
@@ -136,10 +136,8 @@ def packed_rows(
         first = TaskContext.get().partitionId() << 32
         block, held = [], 0
         for batch in batches:
-            for at in range(batch.num_rows):
-                key, text = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
-                ids = np.frombuffer(encode.ids(text) if text else b"", "<u4")
-                ids = np.append(ids, np.uint32(end_id))
+            for key, encoded in _encoded(batch, encode):
+                ids = np.append(np.frombuffer(encoded, "<u4"), np.uint32(end_id))
                 if width == 2 and int(ids.max()) > 0xFFFF:
                     raise ValueError("a token id does not fit in two bytes; use width=4")
                 for piece, (start, length) in enumerate(piece_bounds(len(ids), size)):
@@ -156,6 +154,13 @@ def packed_rows(
     return map_batches(docs.select(F.col(id_column), F.col(text_column)), work, schema)
 
 
+def _encoded(batch: pa.RecordBatch, encode) -> Iterator[tuple[object, bytes]]:
+    for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+        part = batch.slice(at, TEXTS_AT_ONCE)
+        texts = [text or "" for text in part.column(1).to_pylist()]
+        yield from zip(part.column(0).to_pylist(), encode.many(texts), strict=True)
+
+
 def unpacked(rows: DataFrame, width: int = 2) -> DataFrame:
     """The segments of packed rows: doc_id, piece, start and ids as bytes, without padding."""
     segment = F.explode(

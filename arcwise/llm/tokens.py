@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,6 +21,7 @@ from arcwise.llm.frames import batch_of, map_batches
 
 KEPT_PIECES = 600_000
 KEPT_CHARS = 40
+TEXTS_AT_ONCE = 128
 ID_BYTES = 4  # of an id in bytes
 BEFORE_WORD = re.compile(r" (?=\w)")
 
@@ -50,25 +53,37 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        if sys.byteorder == "little":
+            return [array("I", one.ids).tobytes() for one in found]
         return [np.array(one.ids, "<u4").tobytes() for one in found]
 
     def ids(self, text: str) -> bytes:
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; what none of them has shown before is encoded in one call."""
         if not self.by_piece:
-            return self._encode([text])[0]
-        head, *pieces = BEFORE_WORD.split(text)
+            return self._encode(texts)
+        split = [BEFORE_WORD.split(text) for text in texts]
+        heads = [pieces[0] for pieces in split]
+        wanted = set().union(*split)
         known = self.known
-        missing = [piece for piece in set(pieces) if piece not in known]
+        missing = [piece for piece in wanted if piece not in known]
+        if len(known) + len(missing) > KEPT_PIECES:
+            known.clear()
+            missing = list(wanted)
+        fresh = self._encode([" " + piece for piece in missing] + heads)
         long = {}
-        if missing:
-            if len(known) + len(missing) > KEPT_PIECES:
-                known.clear()
-                missing = list(set(pieces))
-            for piece, ids in zip(missing, self._encode([" " + piece for piece in missing]), strict=True):
-                (known if len(piece) <= KEPT_CHARS else long)[piece] = ids
-        first = self._encode([head])[0]
-        if long:
-            return first + b"".join([long[piece] if piece in long else known[piece] for piece in pieces])
-        return first + b"".join(map(known.__getitem__, pieces))
+        for piece, ids in zip(missing, fresh, strict=False):
+            (known if len(piece) <= KEPT_CHARS else long)[piece] = ids
+        joined = []
+        for pieces, first in zip(split, fresh[len(missing) :], strict=True):
+            tail = pieces[1:]
+            if long and not long.keys().isdisjoint(tail):
+                joined.append(first + b"".join([long[p] if p in long else known[p] for p in tail]))
+            else:
+                joined.append(first + b"".join(map(known.__getitem__, tail)))
+        return joined
 
 
 @lru_cache(maxsize=2)
@@ -111,11 +126,11 @@ def cut_documents(
         encode = encoder(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
                 rows, pieces, starts, lengths, sums, ids = [], [], [], [], [], []
-                for row, text in enumerate(part.column(1).to_pylist()):
-                    whole = (encode.ids(text) if text else b"") + end
+                for row, ids_of_text in enumerate(encode.many([text or "" for text in part.column(1).to_pylist()])):
+                    whole = ids_of_text + end
                     for piece, (start, length) in enumerate(piece_bounds(len(whole) // ID_BYTES, size)):
                         own = whole[start * ID_BYTES : (start + length) * ID_BYTES]
                         rows.append(row)
