@@ -27,7 +27,7 @@ from arcwise.llm.oracles import LLM_ORACLES
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
-KEEP_CHANCE = 0.4
+KEEP_CHANCE = 0.5
 """Least probability of the highest grade (good and not toxic) with which a document is kept."""
 
 
@@ -53,7 +53,7 @@ def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def quality_grades(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Grades of all documents by a model fitted on the labelled ones: 0 poor, 1 toxic, 2 good."""
+    """Grades of all documents by a model fitted on the labelled ones: 2 good, 1 poor or toxic, 0 both."""
     grader = grading.fit(docs, labels, grading.label_grade(), grades=3)
     return grading.graded(docs, grader).withColumn("kept", F.get("tails", F.lit(1)) >= KEEP_CHANCE)
 

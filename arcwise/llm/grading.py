@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,9 @@ from arcwise.llm.frames import batch_of, map_batches
 
 BINS = 1 << 20
 SAMPLE_ROWS = 20_000
-LEAST_DEVIATION, LEAST_SEEN = 5.0, 4
-STEPS, RATE, PENALTY = 400, 0.3, 3e-5
+LEAST_SEEN = 4
+STEPS, RATE, PENALTY = 400, 0.3, 2e-4
+STEM = 5  # letters of the stem terms
 EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -30,10 +32,11 @@ def shape_terms(text: str, words: list[str], distinct: int) -> list[str]:
     """Terms for the make-up of a text: repetition, letter case, marks, digits, each in coarse steps."""
     n = max(1, len(words))
     size = max(1, len(text))
-    upper = sum(map(str.isupper, text[:4000]))
-    lower = sum(map(str.islower, text[:4000]))
-    marks = text.count("!") + text.count("|") + text.count("#")
-    digits = sum(map(text.count, "0123456789"))
+    chars = Counter(text)
+    upper = sum(count for char, count in chars.items() if char.isupper())
+    lower = sum(count for char, count in chars.items() if char.islower())
+    marks = chars["!"] + chars["|"] + chars["#"]
+    digits = sum(chars[digit] for digit in "0123456789")
     return [
         f"\x00same{int(10 * distinct / n)}:{min(6, n.bit_length() // 2)}",
         f"\x00upper{int(10 * upper / max(1, upper + lower))}",
@@ -45,11 +48,15 @@ def shape_terms(text: str, words: list[str], distinct: int) -> list[str]:
 
 
 def terms_bins(text: str | None) -> list[int]:
-    """Distinct hash bins of a text's words without outer marks, and of its shape."""
+    """Distinct hash bins of a text's words without outer marks, of their stems, and of its shape.
+
+    A stem, the first ``STEM`` letters of a longer word, stands for compounds and endings not seen before.
+    """
     text = text or ""
     words = text.lower().split()
     bare = set(words)
     terms = {EDGE.sub("", word) or word for word in bare}
+    terms.update([f"\x00stem{word[:STEM]}" for word in terms if len(word) > STEM])
     terms.update(shape_terms(text, words, len(bare)))
     return sorted({zlib.crc32(term.encode()) % BINS for term in terms})
 
@@ -75,9 +82,10 @@ def fit_rows(own: np.ndarray, sizes: np.ndarray, grade: np.ndarray, grades: int)
 
     ``own`` are the bins of all rows in turn, ``sizes`` how many each row has.
 
-    Only bins seen in ``LEAST_SEEN`` rows whose share above some grade is ``LEAST_DEVIATION``
-    standard deviations from the average get a weight, so rare words are not learned by heart. Grades are weighted to count alike. Grades that never occur leave their threshold at its
-    neighbour's; without rows all weights are 0.
+    Only bins seen in ``LEAST_SEEN`` rows get a weight, and only those whose share above some grade is
+    apart from the average by as many standard deviations as chance alone may give among n rows,
+    the root of 2 ln n. So rare words are not learned by heart. A row
+    counts by the inverse root of its grade's share. Without rows all weights are 0.
     """
     n = len(grade)
     if not n:
@@ -89,12 +97,13 @@ def fit_rows(own: np.ndarray, sizes: np.ndarray, grade: np.ndarray, grades: int)
         above = (grade > k) - (grade > k).mean()
         apart = np.bincount(own, above[owner], minlength=BINS)
         strongest = np.maximum(strongest, np.abs(apart) / np.sqrt(np.maximum(seen, 1) * max(above.var(), 1e-9)))
-    chosen = (strongest >= LEAST_DEVIATION) & (seen >= LEAST_SEEN)
+    chosen = (strongest >= np.sqrt(2 * np.log(n))) & (seen >= LEAST_SEEN)
     used, inverse = np.unique(own[chosen[own]], return_inverse=True)
     owner = owner[chosen[own]]
     weights = np.zeros(BINS)
     counts = np.bincount(grade, minlength=grades)
-    share = (n / (np.count_nonzero(counts) * np.maximum(counts, 1)))[grade] / n
+    share = 1 / np.sqrt(counts[grade])
+    share /= share.sum()
     w, squares = np.zeros(len(used)), np.full(len(used), 1e-8)
     start, steps = 0.0, np.zeros(grades - 2)  # thresholds are start + cumulated exp(steps)
     s_start, s_steps = 1e-8, np.full(grades - 2, 1e-8)
@@ -191,9 +200,12 @@ def graded(docs: DataFrame, grader: Grader, id_column: str = "doc_id", text_colu
 
 
 def label_grade() -> Column:
-    """Grade of a label row: 0 poor, 1 good but toxic, 2 good and clean; a null toxic counts as 0."""
-    clean = F.coalesce(F.col("toxic"), F.lit(0)) == 0
-    return F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, F.when(clean, 2).otherwise(1))
+    """Grade of a label row, its number of merits: one for quality, one for not being toxic.
+
+    A null toxic counts as 0; a quality other than 0 and 1 gives no grade.
+    """
+    clean = (F.coalesce(F.col("toxic"), F.lit(0)) == 0).cast("int")
+    return F.when(F.col("quality").isin(0, 1), F.col("quality") + clean)
 
 
 def selected(docs: DataFrame, grader: Grader, above: int, least: float, text_column: str = "text") -> DataFrame:
