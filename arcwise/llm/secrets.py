@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,9 +29,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
+# A run of name characters is read once, so names and literals may be of any length.
 PAIR = re.compile(
-    r"""(?<![\w.])([A-Za-z_][\w.-]{0,79})["'\]]{0,2}[ \t]{0,8}(?::=|=>|=|:)[ \t]{0,8}"""
-    r"""(?:"((?:[^"\\\n]|\\.){1,400})"|'((?:[^'\\\n]|\\.){1,400})'|([A-Za-z0-9+/_.=$@!%-]{1,400}))"""
+    r"""(?<![\w.-])[\d.-]*+([A-Za-z_][\w.-]*+)["'\]]{0,2}[ \t]{0,8}(?::=|=>|=|:)[ \t]{0,8}"""
+    r"""(?:"((?:[^"\\\n]|\\.)++)"|'((?:[^'\\\n]|\\.)++)'|([A-Za-z0-9+/_.=$@!%-]++))"""
 )
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
@@ -135,11 +137,13 @@ def secret_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 text = text or ""
                 base = base_spans(text)
                 taken = [(start, end) for start, end, kind in base if kind == "assign"]
-                extra = [
-                    (start, end, "lexed")
-                    for start, end in lexed_spans(text)
-                    if not any(a <= start and end <= b for a, b in taken)
-                ]
+                # The base spans do not overlap, so only the last one before a literal can cover it.
+                begins = [start for start, _ in taken]
+                extra = []
+                for start, end in lexed_spans(text):
+                    at = bisect_right(begins, start) - 1
+                    if at < 0 or end > taken[at][1]:
+                        extra.append((start, end, "lexed"))
                 every = sorted(base + extra, key=lambda one: (one[0], KINDS.index(one[2]), one[1]))
                 spans.append([{"kind": k, "start": a, "end": b, "value": text[a:b]} for a, b, k in every])
                 digests.append(hashlib.sha256(joined(base).encode()).hexdigest())

@@ -64,3 +64,10 @@ def test_lexer_reads_pairs_and_follows_names():
     assert lexed('password = "changeme"\nname = "abc123def"\nsecret = os.environ') == []
     assert lexed("they said: token ring is: a network") == []
     assert lexed('x = "Old1secret9"\nx = "other"\npwd = x') == []
+    long = "q7Z-" * 400
+    assert lexed(f'auth_token: "{long}"') == lexed(f"auth_token = {long}") == lexed("n" * 300 + f"_token = '{long}'") == [long]
+    assert lexed("--client-secret=Zx81-q9Pz") == ["Zx81-q9Pz"]
+
+
+def test_long_runs_take_one_pass():
+    assert lexed("a-" * 200_000) == lexed('x="' + "y" * 300_000) == lexed("a." * 200_000 + "=") == []
