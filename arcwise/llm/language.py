@@ -22,7 +22,7 @@ from arcwise.llm.frames import batch_of, map_batches, stored
 WORD = re.compile(r"[^\W\d_]+")
 MODEL_WORDS = 60_000
 MODEL_GRAMS = 20_000  # per length
-LONGEST, LEAST_WORD_COUNT, LONGEST_WORD = 4, 3, 40
+LONGEST, LEAST_WORD_COUNT = 4, 3
 MOST_LANGUAGES = 400
 BACK_OFF = 0.4
 HELD_WORDS = 150_000
@@ -81,7 +81,7 @@ def gram_counts(words: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 own = counts.setdefault(row["lang"], Counter())
-                word = row["word"][:LONGEST_WORD]
+                word = row["word"]
                 for n in range(1, LONGEST + 1):
                     for gram in grams_of(word, n):
                         own[gram] += row["n"]
@@ -128,7 +128,6 @@ class Model:
 
     def unseen(self, word: str) -> np.ndarray:
         """Mean log frequency of the word's longest n-grams that are known, from 4 letters down to 1."""
-        word = word[:LONGEST_WORD]
         for n in range(LONGEST, 0, -1):
             known = [self.grams[n][gram] for gram in grams_of(word, n) if gram in self.grams[n]]
             if known:
