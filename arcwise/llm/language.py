@@ -26,6 +26,7 @@ LONGEST, LEAST_WORD_COUNT = 4, 3
 MOST_LANGUAGES = 400
 BACK_OFF = 0.4
 HELD_WORDS = 150_000
+HELD_LETTERS = 40  # longer unseen words are not remembered
 UNKNOWN = "und"
 
 
@@ -104,35 +105,33 @@ def _frequent(counts: DataFrame, term: str, most: int, least: int = 1) -> dict[s
 
 
 class Model:
-    """Log frequency of words and n-grams per language."""
+    """Log frequency of words and n-grams per language, one row of ``vectors`` per term."""
 
     def __init__(self, languages: list[str], words: dict, grams: dict[int, dict], totals: dict[int, dict]):
         self.languages = languages
-        self.rows = {}
-        vectors = []
-        self.grams: dict[int, dict[str, np.ndarray]] = {}
+        self.rows: dict[str, int] = {}
+        self.grams: dict[int, dict[str, int]] = {n: {} for n in grams}
+        parts, first = [np.zeros((0, len(languages)))], 0
         for n, table in [(0, words), *grams.items()]:
             total = np.array([totals[n].get(lang, 0) for lang in languages], float) + 1.0
-            found = {}
-            for term, by in table.items():
-                count = np.array([by.get(lang, 0) for lang in languages], float)
-                # Half a count for a language that never has the term.
-                found[term] = np.log((count + 0.5) / (total + 0.5 * (len(table) + 1)))
-            if n == 0:
-                for term, vector in found.items():
-                    self.rows[term] = len(vectors)
-                    vectors.append(vector)
-            else:
-                self.grams[n] = found
-        self.vectors = np.array(vectors).reshape(len(vectors), len(languages))
-
-    def unseen(self, word: str) -> np.ndarray:
-        """Mean log frequency of the word's longest n-grams that are known, from 4 letters down to 1."""
+            counts = np.array([[by.get(lang, 0) for lang in languages] for by in table.values()], float)
+            # Half a count for a language that never has the term; each step back costs the same.
+            steps = LONGEST - n + 1 if n else 0
+            share = (counts.reshape(len(table), len(languages)) + 0.5) / (total + 0.5 * (len(table) + 1))
+            parts.append(np.log(share) + steps * np.log(BACK_OFF))
+            places = self.grams[n] if n else self.rows
+            places.update(zip(table, range(first, first + len(table)), strict=True))
+            first += len(table)
+        self.vectors = np.concatenate(parts)
+
+    def unseen(self, word: str) -> list[int]:
+        """Rows of the word's longest n-grams that are known, from 4 letters down to 1."""
         for n in range(LONGEST, 0, -1):
-            known = [self.grams[n][gram] for gram in grams_of(word, n) if gram in self.grams[n]]
+            table = self.grams[n]
+            known = [table[gram] for gram in grams_of(word, n) if gram in table]
             if known:
-                return np.mean(known, axis=0) + (LONGEST - n + 1) * np.log(BACK_OFF)
-        return np.zeros(len(self.languages))
+                return known
+        return []
 
 
 class Scorer:
@@ -140,31 +139,33 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self._reset()
-
-    def _reset(self) -> None:
-        self.extra: dict[str, np.ndarray] = {}
+        self.extra: dict[str, list[int]] = {}
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text) if text else []
         if not words or not self.model.languages:
             return UNKNOWN, 0.0
-        total = np.zeros(len(self.model.languages))
-        rows, known, extra = [], self.model.rows, self.extra
+        rows: list[int] = []
+        weights: list[float] = []
+        known, extra = self.model.rows, self.extra
         for word, count in Counter(words).items():
             at = known.get(word)
             if at is not None:
-                rows.append((at, count))
+                rows.append(at)
+                weights.append(count)
                 continue
-            vector = extra.get(word)
-            if vector is None:
-                if len(extra) > HELD_WORDS:
-                    extra.clear()
-                vector = extra[word] = self.model.unseen(word)
-            total += count * vector
-        if rows:
-            at, counts = np.array(rows).T
-            total += counts @ self.model.vectors[at]
+            grams = extra.get(word)
+            if grams is None:
+                grams = self.model.unseen(word)
+                if len(word) <= HELD_LETTERS:
+                    if len(extra) > HELD_WORDS:
+                        extra.clear()
+                    extra[word] = grams
+            if grams:
+                # An unseen word counts by the mean of its n-grams.
+                rows += grams
+                weights += [count / len(grams)] * len(grams)
+        total = np.array(weights) @ self.model.vectors[np.array(rows, np.int64)]
         best = int(total.argmax())
         return self.model.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
