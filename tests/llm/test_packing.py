@@ -139,3 +139,14 @@ def check_matrices(rows, docs, size, width):
     for key, text in docs:
         whole = b"".join(ids for *_, ids in sorted(own[key]))
         assert np.frombuffer(whole, f"<u{width}").tolist() == whole_ids(text)
+
+
+def test_pieces_add_up_to_whole_texts_of_any_signs():
+    plain, mine = Tokenizer.from_file(BYTE_BPE), Encoder(BYTE_BPE)
+    signs = [*"aZé ×ñß.'’s\n\t_-,12²ⅷ٣中 <|>", "'s", " '", "<|endoftext|>", "  ", "don't", "word.\n\n"]
+    draw = random.Random(5)
+    texts = ["".join(draw.choices(signs, k=draw.randint(0, 60))) for _ in range(3000)]
+    found = [ids for at in range(0, len(texts), 128) for ids in mine.many(texts[at : at + 128])]
+    whole = plain.encode_batch_fast(texts, add_special_tokens=False)
+    assert found == [np.array(one.ids, "<u4").tobytes() for one in whole]
+    assert mine.many(texts) == found
