@@ -241,9 +241,16 @@ def knots(
     columns: PathColumns = EFFECTOR_PATHS,
     max_rows: int | None = MAX_ROWS,
 ) -> DataFrame:
-    """Knots from stored tables: every sampled point of the paths, and their peaks."""
+    """Knots from stored tables: every sampled point of the paths, and their peaks.
+
+    NULL keys match NULL keys, as they do in a window.
+    """
     bounds = spline_bounds(peak_rows, columns, max_rows)
-    inside = curved.join(bounds, list(columns.keys)).filter(_inside(columns))
+    bounds = bounds.withColumnsRenamed({name: f"bounds_{name}" for name in columns.keys})
+    same = F.lit(True)
+    for name in columns.keys:
+        same = same & F.col(name).eqNullSafe(F.col(f"bounds_{name}"))
+    inside = curved.join(bounds, same).filter(_inside(columns)).drop(*[f"bounds_{name}" for name in columns.keys])
     return _number_knots(split_series(inside, columns.keys, columns.order, max_rows), columns)
 
 

@@ -26,8 +26,8 @@ def fan_in(points: DataFrame, features: list[DataFrame], on: list[str]) -> DataF
     """Left-join stored feature tables to their points, one shuffle per table.
 
     Features are about as many as points, so sorting and merging is asked for: they must not be
-    broadcast when their size is misjudged. Where the features can still be computed from the points, ``path.feature_table`` gives the same
-    rows without any of these joins.
+    broadcast when their size is misjudged. Where the features can still be computed from the points,
+    ``path.feature_table`` gives the same rows without any of these joins.
     """
     joined = points
     for table in features:

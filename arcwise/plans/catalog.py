@@ -299,6 +299,30 @@ def feature_table(spark, folder):
     return _six(path.feature_table(b.event_points(spark, folder), EVENT_PATHS, COMPARE_DIGITS))
 
 
+@query
+def path_tables(spark, folder):
+    """The five outputs of one shared table, stacked: a point's key and the output's values."""
+    tables = path.path_tables(b.event_points(spark, folder), EVENT_PATHS, COMPARE_DIGITS)
+
+    def stacked(name: str, first: str | None = None, second: str | None = None, label: str | None = None) -> DataFrame:
+        def value(column: str | None, kind: str):
+            return F.lit(None).cast(kind) if column is None else F.col(column).cast(kind)
+
+        return tables[name].select(
+            F.lit(name).alias("output"),
+            "user_id",
+            "event_id",
+            value(first, "double").alias("first_value"),
+            value(second, "double").alias("second_value"),
+            value(label, "string").alias("label"),
+        )
+
+    rows = stacked("curvatures", "curvature").unionByName(stacked("peaks", label="peak_type"))
+    rows = rows.unionByName(stacked("tangents", "tangent"))
+    rows = rows.unionByName(stacked("bisectors", "bisector_x", "bisector_y"))
+    return _six(rows.unionByName(stacked("knots", "knot_index")))
+
+
 # -- shapes -------------------------------------------------------------------------------------
 
 

@@ -271,6 +271,18 @@ ORACLES["feature_table"] = PATHS + (
     f"SELECT {POINT}, {FEATURES}, is_positive_peak, is_negative_peak, is_crossover, peak_type FROM labelled"
 )
 
+ORACLES["path_tables"] = PATHS + f"""
+SELECT 'curvatures' AS output, user_id, event_id, {r6('k', 'first_value')},
+       CAST(NULL AS DOUBLE) AS second_value, CAST(NULL AS VARCHAR) AS label FROM curved
+UNION ALL
+SELECT 'peaks', user_id, event_id, NULL, NULL, peak_type FROM labelled WHERE peak_type IS NOT NULL
+UNION ALL
+SELECT 'tangents', user_id, event_id, {r6('tangent')}, NULL, NULL FROM curved
+UNION ALL
+SELECT 'bisectors', user_id, event_id, {r6('bisector_x')}, {r6('bisector_y')}, NULL FROM bisected
+UNION ALL
+SELECT 'knots', user_id, event_id, CAST(knot_index AS DOUBLE), NULL, NULL FROM knots"""
+
 # -- refinement ---------------------------------------------------------------------------------
 
 REFINED = """sampled AS (
@@ -336,7 +348,7 @@ ORACLES["curvature_series"] = PATHS + (
     f" {r6('time')}, {r6('k', 'curvature')}, peak_type FROM labelled"
 )
 ORACLES["path_segments"] = PATHS + (
-    f"SELECT {POINT.replace('user_id, event_id', 'user_id, event_id')}, {r6('x', 'x0')}, {r6('y', 'y0')},"
+    f"SELECT {POINT}, {r6('x', 'x0')}, {r6('y', 'y0')},"
     f" {r6('nx', 'x1')}, {r6('ny', 'y1')} FROM nb WHERE next_id IS NOT NULL"
 )
 ORACLES["pose_segments"] = POSED + f"""
