@@ -5,6 +5,10 @@ Two sequences of small edit distance give outputs that mostly agree place by pla
 a few places of a walk over every item-sized window; equal samples are candidates, and each candidate
 is verified by exact edit distance. Only windows near a run of words that an item within the distance
 must share are walked: with e edits in n words, n div (e + 1) successive words stay untouched.
+
+The tables miss more the more edits there are, so they do not decide alone. An edit touches at most q of
+the n - q + 1 runs of q words, and the others shift by at most e places; wherever n - q + 1 - q e runs of
+an item lie that close together is a candidate as well, which leaves out nothing within the distance.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ CLASS_STEP = 1.35
 GRAM_BITS, KEY_BITS = 22, 18
 SLICE_STARTS = 200_000
 SEARCHED_TEXTS = 256
+SLICE_RUNS = 4_000_000  # pairs of a run in a text and one in an item that are counted at a time
 MIX = 0x9E3779B97F4A7C15
 
 
@@ -107,6 +112,9 @@ class Index:
             places = np.arange(len(grams), dtype=np.int32)
             np.minimum.at(self.grams[q][0], grams, places - edits)
             np.maximum.at(self.grams[q][1], grams, places + edits)
+        self.runs = {q: self._postings(q) for q in self.grams}
+        self.lengths = np.array([len(words) for _, words in self.items], np.int64)
+        self.longest = int(self.lengths.max(initial=0) + edits_of(self.lengths).max(initial=0)) + 1
         classes, size = [], min(sizes)
         while size <= max(sizes):
             classes.append(size)
@@ -145,6 +153,52 @@ class Index:
             h = (h + ids[k : k + len(h)].astype(np.uint64) + np.uint64(1)) * np.uint64(MIX)
         return (h >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
 
+    @staticmethod
+    def _run_of(n: int) -> int:
+        return min(3, n // (edits_of(n) + 1))
+
+    def _postings(self, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First posting of each run, and item and offset of the postings."""
+        own = [(k, self._grams(np.array(words, np.int64), q)) for k, (_, words) in enumerate(self.items) if self._run_of(len(words)) == q]
+        grams = np.concatenate([grams for _, grams in own])
+        item = np.concatenate([np.full(len(grams), k, np.int32) for k, grams in own])
+        offset = np.concatenate([np.arange(len(grams), dtype=np.int32) for _, grams in own])
+        order = np.argsort(grams, kind="stable")
+        first = np.zeros((1 << GRAM_BITS) + 1, np.int32)
+        np.cumsum(np.bincount(grams, minlength=1 << GRAM_BITS), out=first[1:])
+        return first, item[order], offset[order]
+
+    def counted(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Items and starts where as many of the item's runs lie together as the distance must leave."""
+        for q, (first, item, offset) in self.runs.items():
+            grams = self._grams(ids, q)
+            sizes = (first[grams + 1] - first[grams]).astype(np.int64)
+            places = np.flatnonzero((sizes > 0) & (ids[: len(grams)] > 0))
+            total = np.concatenate([[0], np.cumsum(sizes[places])])
+            low = 0
+            while low < len(places):
+                high = max(low + 1, int(np.searchsorted(total, total[low] + SLICE_RUNS, side="right")) - 1)
+                # The next slice begins so far back that each occurrence lies within one.
+                back = int(np.searchsorted(places, places[high - 1] - self.longest)) if high < len(places) else high
+                if high < len(places) and back <= low:
+                    high = max(high, int(np.searchsorted(places, places[low] + 2 * self.longest, side="right")))
+                    back = max(low + 1, int(np.searchsorted(places, places[high - 1] - self.longest))) if high < len(places) else high
+                own, count = places[low:high], sizes[places[low:high]]
+                at = np.repeat(first[grams[own]] - (total[low:high] - total[low]), count) + np.arange(int(count.sum()))
+                yield self._close(item[at].astype(np.int64), np.repeat(own, count) - offset[at], q)
+                low = back
+
+    def _close(self, item: np.ndarray, start: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((start, item))
+        item, start = item[order], start[order]
+        lengths = self.lengths[item]
+        edits = edits_of(lengths)
+        last = np.arange(len(item)) + (lengths - q + 1 - q * edits) - 1
+        inside = np.minimum(last, len(item) - 1)
+        hit = (last < len(item)) & (item[inside] == item) & (start[inside] - start <= 2 * edits)
+        # The first of them is at most the edits away from the occurrence's own start and end.
+        return item[hit], start[hit]
+
     def _walk(self, ids: np.ndarray, starts: np.ndarray, walk: int, only: int | None = None):
         """((class, table), key per start) of one walk from every start."""
         classes = range(len(self.classes)) if only is None else [only]
@@ -192,6 +246,9 @@ class Index:
                     for k in np.flatnonzero(marked).tolist():
                         for item in table.get(int(keys[k]), ()):
                             near[item].append(int(starts[k]))
+        for own, starts in self.counted(ids):
+            for item, start in zip(own.tolist(), starts.tolist(), strict=True):
+                near[item].append(start)
         found = []
         for item, own in near.items():
             words = self.items[item][1]

@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+
 from arcwise.llm.catalog import op2_cgk_decontamination
-from arcwise.llm.decontaminate import contaminations, edit_ends, edits_of, occurrences
+from arcwise.llm import decontaminate
+from arcwise.llm.decontaminate import Index, contaminations, edit_ends, edits_of, occurrences
 from arcwise.llm.words import words_of
 from tests.llm.common import FOLDER, docs_of, needs_tables
 
@@ -73,3 +76,25 @@ def test_edges(spark, tmp_path):
     none = spark.createDataFrame([], "item_id LONG, text STRING")
     assert contaminations(docs, none).count() == 0
     assert contaminations(docs_of(spark, tmp_path, []), items).count() == 0
+
+
+def test_every_item_within_the_distance_is_found(monkeypatch):
+    rng = random.Random(21)
+    for size in (5, 9, 15, 60, 100, 200, 300):
+        items = [(k, [f"w{rng.randrange(400)}" for _ in range(size)]) for k in range(20)]
+        index = Index([(k, " ".join(words)) for k, words in items])
+        for share in (5, 6, 8):
+            ids, planted = [0] * 400, []
+            for key, words in items:
+                own = list(words)
+                for _ in range(size // share):
+                    at = rng.randrange(len(own))
+                    own[at : at + 1] = rng.choice([[], ["new"], [own[at], "more"]])
+                ids += [index.vocabulary[f"w{rng.randrange(400)}"] for _ in range(50)]
+                planted.append((key, len(ids), len(ids) + len(own)))
+                ids += [index.vocabulary[word] for word in own] + [0] * 400
+            for slice_runs in (decontaminate.SLICE_RUNS, 50):
+                monkeypatch.setattr(decontaminate, "SLICE_RUNS", slice_runs)
+                found = index.search(np.array(ids, np.int64))
+                assert all(any(i == k and s < end and e > start for i, s, e, _ in found) for k, start, end in planted), (size, share)
+            monkeypatch.undo()
