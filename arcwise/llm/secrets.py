@@ -1,8 +1,9 @@
 """Secret scans: plain patterns, and an assignment-aware lexer for source and configuration text.
 
 The lexer reads name-literal pairs (``name = "literal"``, ``name: literal``, ``"name": "literal"``,
-``name => literal``), remembers constants and follows names that are assigned to other names, and
-scores the literals that reach a sensitive target name.
+``name => literal``, ``name: type = "literal"``), follows names that are assigned to other names (``name``,
+``$NAME``, ``${NAME}``), also to such that are defined only further on, and scores the literals that reach
+a sensitive target name.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,11 +30,26 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
-# A run of name characters is read once, so names and literals may be of any length.
+# A run of name characters or blanks is read once, so names, blanks and literals may be of any length.
+TYPE_DEPTH = 6  # brackets within brackets of a type
+
+
+def _brackets(left: str, right: str) -> str:
+    plain, within = rf"[^{left}{right}\n=:\"']*+", ""
+    for _ in range(TYPE_DEPTH):
+        within = rf"{left}{plain}{f'(?:{within}{plain})*+' if within else ''}{right}"
+    return within
+
+
+BRACKETS = _brackets(r"\[", r"\]") + "|" + _brackets("<", ">")
+TYPE = rf"(?:&'\w++[ \t]++|[&*?])?+[A-Za-z_][\w.]*+(?:::\w++)*+(?:{BRACKETS}|[?*&])*+"
 PAIR = re.compile(
-    r"""(?<![\w.-])[\d.-]*+([A-Za-z_][\w.-]*+)["'\]]{0,2}[ \t]{0,8}(?::=|=>|=|:)[ \t]{0,8}"""
-    r"""(?:"((?:[^"\\\n]|\\.)++)"|'((?:[^'\\\n]|\\.)++)'|([A-Za-z0-9+/_.=$@!%-]++))"""
+    r"""(?<![\w.-])[\d.-]*+([A-Za-z_][\w.-]*+)["'\]]{0,2}[ \t]*+"""
+    rf"""(?::[ \t]*+(?P<type>{TYPE}(?:[ \t]*+\|[ \t]*+{TYPE})*+)[ \t]*+(?==(?![=>])))?+(?::=|=>|=|:)[ \t]*+"""
+    r"""(?:"(?P<double>(?:[^"\\\n]|\\.)++)"|'(?P<single>(?:[^'\\\n]|\\.)++)'"""
+    r"""|(?P<bare>\$\{[A-Za-z_]\w*+\}|[A-Za-z0-9+/_.=$@!%-]++))"""
 )
+REFERENCE = re.compile(r"\$\{([A-Za-z_]\w*)\}|\$([A-Za-z_]\w*)")
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 # Fixed word lists: parts of sensitive target names with their weight, and values that are no secret.
@@ -67,27 +83,50 @@ def literal_score(value: str) -> float:
 
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Spans of the literals that reach a sensitive name, directly or through other names."""
-    constants: dict[str, tuple[str, int, int]] = {}
-    aliases: dict[str, str] = {}
-    targets: list[tuple[str, str, int, int, bool]] = []
+    pairs: list[tuple[str, str, int, int, bool, str | None]] = []
+    places: dict[str, list[int]] = {}
+    targets: list[tuple[str, int]] = []
     for found in PAIR.finditer(text):
-        name = found.group(1)
-        group = next(k for k in (2, 3, 4) if found.group(k) is not None)
-        value, start, end = found.group(group), found.start(group), found.end(group)
-        quoted = group != 4
-        if not quoted and NAME.match(value) and (value in constants or value in aliases):
-            # A name takes what the other one stands for at this place.
-            aliases[name] = aliases.get(value, value)
-            constants.pop(name, None)
-        else:
-            constants[name] = (value, start, end)
-            aliases.pop(name, None)
+        name, group = found.group(1), found.lastgroup
+        value, quoted = found.group(group), group != "bare"
+        named = REFERENCE.fullmatch(value)
+        other = named.group(1) or named.group(2) if named else value if not quoted and NAME.match(value) else None
         if name_weight(name) >= 2:
-            origin = aliases.get(name, name)
-            if origin in constants:
-                targets.append((name, *constants[origin], quoted or origin != name))
+            targets.append((name, len(pairs)))
+        kind = found.group("type")
+        if kind and NAME.match(kind) and name_weight(kind) >= 2:
+            targets.append((kind, len(pairs)))  # "section: name = literal"
+        places.setdefault(name, []).append(len(pairs))
+        pairs.append((name, value, *found.span(group), quoted, other))
+    origins: dict[int, int | None] = {}
+
+    def origin(number: int) -> int | None:
+        """The pair whose literal a pair stands for; none for names that only stand for each other."""
+        path = []
+        while number not in origins:
+            origins[number] = None  # met again before it is known: a circle
+            path.append(number)
+            own = places.get(pairs[number][5], [])
+            at = bisect_left(own, number)
+            # The name's last definition before this place, else the first one after it.
+            later = at + (at < len(own) and own[at] == number)
+            if at:
+                number = own[at - 1]
+            elif later < len(own):
+                number = own[later]
+            else:
+                origins[number] = number
+        for one in path:
+            origins[one] = origins[number]
+        return origins[number]
+
+    reached = []
+    for name, number in targets:
+        first = origin(number)
+        if first is not None:
+            reached.append((name, *pairs[first][1:4], pairs[first][4] or first != number))
     spans = set()
-    for name, value, start, end, certain in targets:
+    for name, value, start, end, certain in reached:
         plain = not certain and not re.search("[0-9]", value)
         if not plain and min(3, name_weight(name)) + literal_score(value) >= LEAST_SCORE and literal_score(value) > 0:
             spans.add((start, end))

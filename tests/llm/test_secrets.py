@@ -71,3 +71,25 @@ def test_lexer_reads_pairs_and_follows_names():
 
 def test_long_runs_take_one_pass():
     assert lexed("a-" * 200_000) == lexed('x="' + "y" * 300_000) == lexed("a." * 200_000 + "=") == []
+
+
+def test_lexer_reads_aligned_typed_and_referred_forms():
+    forms = [
+        'db_pwd            =          "S3cr3tVal9"', "db_pwd" + "\t" * 5000 + ":" + " " * 5000 + "S3cr3tVal9",
+        'api_secret: str = "S3cr3tVal9"', 'const dbPwd: string = "S3cr3tVal9";', "let authToken: &'static str = \"S3cr3tVal9\";",
+        'db_pwd: Optional[Dict[str, List[str]]] = "S3cr3tVal9"', 'db_pwd: str | None = "S3cr3tVal9"', 'val dbPwd: String? = "S3cr3tVal9"',
+        'db_pwd: Final[str] = "S3cr3tVal9"', 'static dbPwd: std::string="S3cr3tVal9"', 'config: db_pwd = "S3cr3tVal9"',
+        "BASE=S3cr3tVal9\nDB_PWD=$BASE", 'BASE="S3cr3tVal9"\nDB_PWD="${BASE}"', "BASE=S3cr3tVal9\nexport DB_PWD=${BASE}",
+        'db_pwd = base\nbase = "S3cr3tVal9"', "DB_PWD=$A\nA=${B}\nB='S3cr3tVal9'", 'db_pwd: str = base\nbase: str = "S3cr3tVal9"',
+    ]
+    assert [lexed(form) for form in forms] == [["S3cr3tVal9"]] * len(forms)
+    assert lexed('x = "Old1secret9"\npwd = x\nx = "other"') == ["Old1secret9"]
+    for text in ("DB_PWD=$A\nA=$B\nB=$A", "DB_PWD=$DB_PWD", "DB_PWD=${NONE}", 'db_pwd: str\nname: str = "S3cr3tVal9"'):
+        assert lexed(text) == []
+    chain = "\n".join(f"n{k} = n{k + 1}" for k in range(50_000))
+    assert lexed("pwd = n0\n" + chain + '\nn50000 = "S3cr3tVal9"') == ["S3cr3tVal9"]
+
+
+def test_long_types_and_blanks_take_one_pass():
+    for text in ("a: b[" * 100_000, "a: b | " * 100_000, "a: b<c, " * 100_000, "a" + " " * 300_000, ("a" + " " * 9) * 30_000, "a: b::" * 100_000):
+        assert lexed(text) == []
