@@ -1,8 +1,9 @@
 """Language identification, word first: known words by their log frequency per language, unseen words
 by progressively shorter character n-grams.
 
-Word counts come from all training texts. The model keeps the most frequent words and n-grams, so it
-is of a fixed size and is sent to every task; whatever it does not know goes one step back.
+Word counts come from all training texts and stay in stored tables, whole. The distinct words of the texts
+to predict are joined to them, what is not among them to the n-grams, and each word's log frequencies are
+then sent to the tasks in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -10,18 +11,18 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arcwise.llm.frames import batch_of, map_batches, stored
 
 WORD = re.compile(r"[^\W\d_]+")
-MODEL_WORDS = 60_000
-MODEL_GRAMS = 20_000  # per length
+BLOCK_WORDS, BLOCK_ENTRIES = 400_000, 8_000_000  # words, and words times languages, sent to the tasks at a time
 LONGEST, LEAST_WORD_COUNT = 4, 3
 MOST_LANGUAGES = 400
 BACK_OFF = 0.4
@@ -95,13 +96,10 @@ def gram_counts(words: DataFrame) -> DataFrame:
     return map_batches(words, work, GRAMS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _frequent(counts: DataFrame, term: str, most: int, least: int = 1) -> dict[str, dict[str, int]]:
-    """At most ``most`` terms, those with the largest counts over all languages; ties by the term."""
-    chosen = counts.groupBy(term).agg(
-        F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")
-    )
-    chosen = chosen.filter(F.col("total") >= least).orderBy(F.desc("total"), term).limit(most)
-    return {row[term]: row["by"] for row in chosen.collect()}  # at most ``most`` rows
+def _by_language(counts: DataFrame, term: str, least: int = 1) -> DataFrame:
+    """One row per term: its counts by language."""
+    by = F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")
+    return counts.groupBy(term).agg(F.sum("n").alias("total"), by).filter(F.col("total") >= least).select(term, "by")
 
 
 class Model:
@@ -170,52 +168,158 @@ class Scorer:
         return self.model.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
 
-def fit(texts: DataFrame, text_column: str = "text", lang_column: str = "lang") -> Model:
+class StoredModel(Model):
+    """A model in stored tables; only ``Scorer`` on the driver, for small ones, reads them whole."""
+
+    def __init__(self, languages: list[str], words: DataFrame, grams: DataFrame, totals: dict[int, dict]):
+        self.languages, self.word_table, self.gram_table, self.totals = languages, words, grams, totals
+        self.sizes = {0: words.count()} | {n: 0 for n in range(1, LONGEST + 1)}
+        self.sizes |= {row[0]: row[1] for row in grams.groupBy("size").count().collect()}
+
+    @cached_property
+    def whole(self) -> Model:
+        tables = {n: {} for n in range(1, LONGEST + 1)}
+        for row in self.gram_table.collect():
+            tables[row["size"]][row["gram"]] = row["by"]
+        return Model(self.languages, {row["word"]: row["by"] for row in self.word_table.collect()}, tables, self.totals)
+
+    rows = property(lambda self: self.whole.rows)
+    grams = property(lambda self: self.whole.grams)
+    vectors = property(lambda self: self.whole.vectors)
+
+    def _vector(self, size: Column | int) -> Column:
+        """Log frequencies as in ``Model``, from the column ``by``."""
+        shares = []
+        for n in range(LONGEST + 1):
+            steps = (LONGEST - n + 1 if n else 0) * np.log(BACK_OFF)
+            total = np.array([self.totals[n].get(lang, 0) for lang in self.languages], float) + 1.0
+            shares.append(F.lit((steps - np.log(total + 0.5 * (self.sizes[n] + 1))).tolist()))
+        counts = F.transform(F.lit(self.languages), lambda lang: F.log(F.coalesce(F.try_element_at("by", lang), F.lit(0)) + 0.5))
+        own = shares[0] if isinstance(size, int) else F.get(F.array(*shares), size)
+        return F.zip_with(counts, own, lambda count, share: count + share)
+
+    def word_vectors(self, words: DataFrame) -> DataFrame:
+        """word, vector of distinct words: their own, or the mean of their longest n-grams that are known."""
+        known = words.join(self.word_table.hint("merge"), "word").select("word", self._vector(0).alias("vector"))
+        unseen = words.join(self.word_table.select("word").hint("merge"), "word", "left_anti")
+        pieces = map_batches(unseen, _emit_grams, PIECES).join(self.gram_table.hint("merge"), ["gram", "size"])
+        longest = pieces.groupBy("word").agg(F.max("size").alias("size"))
+        pieces = pieces.join(longest.hint("merge"), ["word", "size"]).withColumn("vector", self._vector(F.col("size")))
+        means = [F.avg(F.get("vector", F.lit(k))) for k in range(len(self.languages))]
+        return known.union(pieces.groupBy("word").agg(F.array(*means).alias("vector")))
+
+
+PIECES = T.StructType(
+    [T.StructField("word", T.StringType()), T.StructField("gram", T.StringType()), T.StructField("size", T.IntegerType())]
+)
+
+
+def _emit_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for word in batch.column(0).to_pylist():
+            own = [gram for n in range(1, LONGEST + 1) for gram in grams_of(word, n)]
+            yield batch_of(PIECES, [[word] * len(own), own, [len(gram) for gram in own]])
+
+
+def _emit_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: set[str] = set()
+    schema = T.StructType([T.StructField("word", T.StringType())])
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            held.update(words_of(text) if text else ())
+            if len(held) > HELD_WORDS:
+                yield batch_of(schema, [list(held)])
+                held = set()
+    yield batch_of(schema, [list(held)])
+
+
+def fit(texts: DataFrame, text_column: str = "text", lang_column: str = "lang") -> StoredModel:
     """Learns from all rows with a non-null text and language.
 
-    The model has at most ``MODEL_WORDS`` words of three occurrences or more and ``MODEL_GRAMS``
-    n-grams of each length from 1 to 4, the most frequent ones. More than ``MOST_LANGUAGES``
-    languages raise.
+    The model has all words of three occurrences or more and all n-grams of each length from 1 to 4.
+    More than ``MOST_LANGUAGES`` languages raise.
     """
     used = texts.select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang")).dropna()
     words = stored(word_counts(used), "words")
-    grams = stored(gram_counts(words), "grams")
+    grams = stored(gram_counts(words).withColumn("size", F.length("gram")), "grams")
     languages = [row[0] for row in words.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    totals = {0: {row[0]: row[1] for row in words.groupBy("lang").agg(F.sum("n")).collect()}}
-    tables = {}
-    sized = grams.withColumn("size", F.length("gram"))
-    for n in range(1, LONGEST + 1):
-        own = sized.filter(F.col("size") == n)
-        totals[n] = {row[0]: row[1] for row in own.groupBy("lang").agg(F.sum("n")).collect()}
-        tables[n] = _frequent(own, "gram", MODEL_GRAMS)
-    return Model(languages, _frequent(words, "word", MODEL_WORDS, LEAST_WORD_COUNT), tables, totals)
+    totals: dict[int, dict] = {n: {} for n in range(LONGEST + 1)}
+    totals[0] = {row[0]: row[1] for row in words.groupBy("lang").agg(F.sum("n")).collect()}
+    for row in grams.groupBy("size", "lang").agg(F.sum("n")).collect():
+        totals[row[0]][row[1]] = row[2]
+    by_gram = _by_language(grams, "gram").withColumn("size", F.length("gram"))
+    return StoredModel(languages, stored(_by_language(words, "word", LEAST_WORD_COUNT), "word_model"), stored(by_gram, "gram_model"), totals)
 
 
-def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def predict(
+    docs: DataFrame, model: StoredModel, id_column: str = "doc_id", text_column: str = "text", block_words: int = BLOCK_WORDS
+) -> DataFrame:
     """One row per row of ``docs``: the id, lang_pred and score.
 
     ``score`` is the posterior of the language under equal priors. A null text, or one without a
     letter, is ``und`` with score 0, as is every text if nothing was learned. Ties go to the first
-    language by name. Repeated rows are predicted each, other columns not read.
+    language by name. Repeated rows are predicted each, other columns not read. ``docs`` must be a
+    stored table; it is read once per block of at most about ``block_words`` distinct words.
     """
+    languages = model.languages
+    spark = docs.sparkSession
+    if not languages:
+        return docs.select(id_column, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    words = map_batches(docs.select(text_column), _emit_words, T.StructType([T.StructField("word", T.StringType())])).distinct()
+    vectors = stored(model.word_vectors(stored(words, "distinct_words")), "vectors")
+    count = vectors.count()
+    blocks = max(1, -(-count // block_words), -(-count * len(languages) // BLOCK_ENTRIES))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    id_type = docs.schema[id_column].dataType
+    summed = T.StructType(
+        [T.StructField("row", T.LongType()), T.StructField("id", id_type), T.StructField("sums", T.ArrayType(T.DoubleType()))]
+    )
+    parts = []
+    for block in range(blocks):
+        own = vectors.filter(F.pmod(F.xxhash64("word"), F.lit(blocks)) == block).toArrow()  # a block of bounded size
+        values = own.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        shared = spark.sparkContext.broadcast((own.column("word").to_pylist(), values.reshape(-1, len(languages))))
+        part = map_batches(texts, _summer(shared, summed, len(languages)), summed)
+        parts.append(part if blocks == 1 else stored(part, "sums"))
+    whole = parts[0]
+    if blocks > 1:
+        for part in parts[1:]:
+            whole = whole.union(part)
+        sums = F.array(*[F.sum(F.get("sums", F.lit(k))) for k in range(len(languages))])
+        sums = F.when(F.count("sums") > 0, sums).alias("sums")
+        whole = whole.groupBy("row").agg(F.first("id").alias("id"), sums)
     schema = T.StructType(
-        [
-            T.StructField(id_column, docs.schema[id_column].dataType),
-            T.StructField("lang_pred", T.StringType()),
-            T.StructField("score", T.DoubleType()),
-        ]
+        [T.StructField(id_column, id_type), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     )
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer.predict(text) for text in batch.column(1).to_pylist()]
-            yield batch_of(schema, [batch.column(0), [lang for lang, _ in found], [score for _, score in found]])
+            names, scores = [], []
+            for sums in batch.column(1).to_pylist():
+                total = np.array(sums) if sums is not None else None
+                best = int(total.argmax()) if sums is not None else -1
+                names.append(UNKNOWN if best < 0 else languages[best])
+                scores.append(0.0 if best < 0 else float(1 / np.exp(np.minimum(total - total[best], 0)).sum()))
+            yield batch_of(schema, [batch.column(0), names, scores])
+
+    return map_batches(whole.select("id", "sums"), work, schema)
 
-    return map_batches(docs.select(id_column, text_column), work, schema)
+
+def _summer(shared, schema, size: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, vectors = shared.value
+        known = {word: k for k, word in enumerate(words)}
+        for batch in batches:
+            sums: list[list[float] | None] = []
+            for text in batch.column(2).to_pylist():
+                own = words_of(text) if text else []
+                at = [known[word] for word in own if word in known]
+                sums.append(vectors[at].sum(axis=0).tolist() if at else [0.0] * size if own else None)
+            yield batch_of(schema, [batch.column(0), batch.column(1), sums])
+
+    return work
 
 
 def held_out(key: Column) -> Column:

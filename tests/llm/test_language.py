@@ -37,3 +37,30 @@ def test_edges(spark, tmp_path):
     empty = docs_of(spark, tmp_path, [])
     assert predict(empty, fit(empty)).count() == 0
     assert Scorer(Model([], {}, {n: {} for n in range(1, 5)}, {n: {} for n in range(5)})).predict("abc") == ("und", 0.0)
+
+
+def test_rare_language_beside_a_dominant_one(spark, tmp_path):
+    # More words of the large language than a table of fixed size would hold, and a close small one.
+    large = [(k, " ".join(f"{a}{b}{c}" for c in "abcdefghijklmnopqrst" for b in ("ka", "ko", "ki") for a in own) + " ", "aa") for k, own in
+             enumerate(["".join(chr(97 + (k // 26**i) % 26) for i in range(3)) for k in range(at, at + 20)] for at in range(0, 1200, 20))]
+    large = [(k, text * 4, lang) for k, text, lang in large]
+    small = [(900 + k, "abakax cadakox", "bb") for k in range(3)]
+    docs = docs_of(spark, tmp_path, [(a, b, c, None, None) for a, b, c in large + small])
+    model = fit(docs)
+    wanted = {k: lang for k, _, lang in large + small}
+    one = {row.doc_id: (row.lang_pred, round(row.score, 9)) for row in predict(docs, model).collect()}
+    assert {k: lang for k, (lang, _) in one.items()} == wanted
+    assert model.word_table.count() > 60_000 and model.word_table.filter("word IN ('abakax', 'cadakox')").count() == 2
+    blocks = predict(docs, model, block_words=30_000).collect()
+    assert {row.doc_id: (row.lang_pred, round(row.score, 9)) for row in blocks} == one
+
+
+def test_stored_and_whole_model_agree(spark, tmp_path):
+    rows = [(k, "the cat sat there", "en") for k in range(4)] + [(k + 9, "der hund lief dort", "de") for k in range(4)]
+    rows += [(30, "hunde", None), (31, "the zzz hound", None), (32, "qqq", None), (33, "1 +", None), (34, None, None)]
+    docs = docs_of(spark, tmp_path, [(a, b, c, None, None) for a, b, c in rows])
+    model = fit(docs)
+    scorer, texts = Scorer(model), {a: b for a, b, _ in rows}
+    for row in predict(docs, model).collect():
+        lang, score = scorer.predict(texts[row.doc_id])
+        assert row.lang_pred == lang and abs(row.score - score) < 1e-9
