@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcwise.llm import (
+    centroids,
     conversations,
     decontaminate,
     exact,
+    gnat,
     grading,
+    katz,
     language,
     matrix,
     packing,
@@ -90,6 +93,22 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.chat_pages(table(spark, folder, "conversations"))
 
 
+def op11_gnat_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of ids divisible by 50 are the anchors; labels of ids divisible by 7 are shifted by one."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").withColumn("label", shifted)
+    return gnat.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op12_laesa_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.pivot_clusters(table(spark, folder, "embeddings"))
+
+
+def op13_katz_scores(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return katz.language_scores(table(spark, folder, "documents"), held_out)
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chained_passages": op1_chained_passages,
     "op2_cgk_decontamination": op2_cgk_decontamination,
@@ -101,6 +120,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packed_matrices": op8_packed_matrices,
     "op9_simhash": op9_simhash,
     "op10_chat_format": op10_chat_format,
+    "op11_gnat_negatives": op11_gnat_negatives,
+    "op12_laesa_centroids": op12_laesa_centroids,
+    "op13_katz_scores": op13_katz_scores,
 }
 
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
