@@ -165,8 +165,8 @@ def token_table(docs: DataFrame, held_out: Column, id_column: str, text_column:
         number = TaskContext.get().partitionId() * DOCS
         chunk = _Chunk(number, False)
         for batch in batches:
-            for key, held, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                words, at, before = words_of(text), 0, None
+            for key, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                words, at, before = words_of(text.as_py()), 0, None
                 while True:
                     room = max(1, chunk_tokens - chunk.size)
                     some = words[at : at + room]
@@ -222,7 +222,6 @@ class Vocabulary:
     hashes: np.ndarray
     ranks: np.ndarray
     counts: np.ndarray
-    met: np.ndarray
     tokens: int
     types: int
     factors: np.ndarray
@@ -266,8 +265,8 @@ def word_counts(chunks: DataFrame) -> DataFrame:
     return stored(counted.agg(F.sum("met").alias("met"), F.sum("count").alias("count")), "words")
 
 
-def vocabulary(words: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
-    """Totals from one aggregate; words above a count that at most ``frequent`` words reach."""
+def vocabulary(words: DataFrame, frequent: int = FREQUENT) -> tuple[Vocabulary, np.ndarray]:
+    """Totals from one aggregate; words above a count that at most ``frequent`` words reach, and how often those were met."""
     level = F.floor(F.log2(F.col("met").cast("double")) * 8).cast("int")
     small = F.when(F.col("count") <= DISCOUNTED + 1, F.col("count"))
     rows = words.groupBy(level.alias("level"), small.alias("small")).agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("count")).collect()
@@ -296,7 +295,7 @@ def vocabulary(words: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
     ranks[order] = np.arange(len(hashes), dtype=np.uint32)
     by_hash = np.argsort(hashes)
     counts, met = (found.column(name).to_numpy()[order] for name in ("count", "met"))
-    return Vocabulary(hashes[by_hash], ranks[by_hash], counts, met, tokens, types, factors, whole, 1 - kept / whole)
+    return Vocabulary(hashes[by_hash], ranks[by_hash], counts, tokens, types, factors, whole, 1 - kept / whole), met
 
 
 # -- pairs --------------------------------------------------------------------------------------
@@ -350,14 +349,19 @@ def _dealt(chunk: Tokens, known: Vocabulary, hot: np.ndarray, buckets: int, trai
     if training:
         some = ~chunk.held[pieces]
         pieces, histories, words = np.zeros(int(some.sum()), np.int64), histories[some], words[some]
-    # A chunk has fewer than 2^21 words and pieces, so that a pair fits 42 bits.
-    keys = known.keys(chunk.hashes)
-    order = np.lexsort((pieces, words, histories)) if len(chunk.lengths) > 1 << 21 else np.argsort(
-        (histories << 42) | (words << 21) | pieces, kind="stable"
-    )
-    pieces, histories, words = pieces[order], histories[order], words[order]
     if not len(words):
         return
+    keys = known.keys(chunk.hashes)
+    # Piece, history and word share 64 bits where a chunk is of the usual size.
+    bits = max(int(len(chunk.hashes)), int(len(chunk.lengths))).bit_length()
+    if 3 * bits < 64:
+        joint = (histories << (2 * bits)) | (words << bits) | pieces
+        joint.sort()
+        low = (1 << bits) - 1
+        histories, words, pieces = joint >> (2 * bits), (joint >> bits) & low, joint & low
+    else:
+        order = np.lexsort((pieces, words, histories))
+        pieces, histories, words = pieces[order], histories[order], words[order]
     pair = np.r_[True, (histories[1:] != histories[:-1]) | (words[1:] != words[:-1])]
     entry = pair | np.r_[True, pieces[1:] != pieces[:-1]]
     at, starts = np.nonzero(entry)[0], np.nonzero(pair)[0]
@@ -388,6 +392,38 @@ def _whole_pairs(histories: np.ndarray, words: np.ndarray) -> tuple[np.ndarray,
     return order, np.cumsum(new) - 1
 
 
+@dataclass
+class _Pairs:
+    """The stored pairs of a bucket, to be looked up."""
+
+    histories: np.ndarray
+    words: np.ndarray
+    joint: np.ndarray
+    counts: np.ndarray
+
+    @staticmethod
+    def of(parts: list[tuple]) -> _Pairs:
+        empty = np.zeros(0, np.uint64)
+        histories, words = (np.concatenate([part[k] for part in parts] + [empty]) for k in range(2))
+        counts = np.concatenate([part[2][0] for part in parts] + [np.zeros(0, np.uint32)]).astype(np.int64)
+        left, right = np.unique(histories), np.unique(words)
+        joint = np.searchsorted(left, histories) * len(right) + np.searchsorted(right, words)
+        order = np.argsort(joint, kind="stable")
+        return _Pairs(left, right, joint[order], counts[order])
+
+    def counts_of(self, histories: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Counts of pairs, 0 for those not stored."""
+        found = np.zeros(len(words), np.int64)
+        if len(self.joint):
+            left = np.minimum(np.searchsorted(self.histories, histories), len(self.histories) - 1)
+            right = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            joint = left * len(self.words) + right
+            at = np.minimum(np.searchsorted(self.joint, joint), len(self.joint) - 1)
+            there = (self.histories[left] == histories) & (self.words[right] == words) & (self.joint[at] == joint)
+            found[there] = self.counts[at[there]]
+        return found
+
+
 @dataclass
 class Model:
     """A fitted model and its stored tables.
@@ -489,11 +525,11 @@ def fit_chunks(chunks: DataFrame, bucket_tokens: int = BUCKET_TOKENS, frequent:
     """The model of the chunks' training texts."""
     spark = chunks.sparkSession
     words = word_counts(chunks)
-    known = vocabulary(words, frequent)
+    known, met = vocabulary(words, frequent)
     total, texts = words.agg(F.sum("met"), F.max(F.when(F.col("word") == int(END), F.col("met")))).first()
     buckets = max(1, -(-(total or 0) // bucket_tokens))
     limit = bucket_tokens // HOT_PER_BUCKET
-    hot = np.nonzero(known.met > limit)[0].astype(np.uint64)
+    hot = np.nonzero(met > limit)[0].astype(np.uint64)
     if (texts or 0) > limit:
         hot = np.r_[hot, FIRST]
     parts = stored(_counted_pairs(chunks, known, hot, buckets), "grams")
@@ -585,7 +621,7 @@ def _pair_rows(chunks: DataFrame, model: Model) -> DataFrame:
     def score(table: pa.Table) -> pa.Table:
         kinds, firsts, blobs = table.column("kind").to_pylist(), table.column("first").to_pylist(), table.column("pairs").to_pylist()
         grams = [unpack_pairs(blob) for kind, blob in zip(kinds, blobs, strict=True) if kind == GRAMS]
-        asked = [(first, *unpack_pairs(blob)) for kind, first, blob in zip(kinds, firsts, blobs, strict=True) if kind == ASKED]
+        asked = [(first, blob) for kind, first, blob in zip(kinds, firsts, blobs, strict=True) if kind == ASKED]
         empty = pa.Table.from_batches([batch_of(schema, [[]] * 8)])
         if not asked:
             return empty
@@ -598,44 +634,31 @@ def _pair_rows(chunks: DataFrame, model: Model) -> DataFrame:
         context, first = np.unique(context, return_index=True)
         facts = facts[first]
 
-        histories = np.concatenate([part[0] for part in grams] + [part[1] for part in asked])
-        words = np.concatenate([part[1] for part in grams] + [part[2] for part in asked])
-        order, pair = _whole_pairs(histories, words)
-        of = np.empty(len(order), np.int64)
-        of[order] = pair
-        stored_rows = sum(len(part[0]) for part in grams)
-        counts = np.zeros(pair[-1] + 1, np.int64)
-        if grams:
-            counts[of[:stored_rows]] = np.concatenate([part[2][0] for part in grams])
-        counts, histories, words = counts[of[stored_rows:]], histories[stored_rows:], words[stored_rows:]
-        whole, weight = np.ones(len(words)), np.ones(len(words))
-        if len(context):
-            at = np.minimum(np.searchsorted(context, histories), len(context) - 1)
-            met = context[at] == histories
-            whole[met], weight[met] = facts[at[met], 0], facts[at[met], 1]
-        seen, rare = counts > 0, words >= FIRST
-        logs = np.log10(np.where(seen, discounted(counts, factors) / whole, weight))
-        down = ~seen & ~rare
-        logs[down] += np.log10(known.chance(known.count(words[down])))
-        handed = ~seen & rare
-
-        out, begin = [], 0
-        for first, own, _, (per_pair, pieces, times) in asked:
-            some = slice(begin, begin + len(own))
-            begin += len(own)
-            value = np.repeat(logs[some], per_pair) * times
-            sums = np.bincount(pieces, value)
-            met = np.unique(pieces)
-            out.append([first + met.astype(np.int64), [None] * len(met), [0] * len(met), sums[met]])
-            asks = np.repeat(handed[some], per_pair)
+        pairs = _Pairs.of(grams)
+        out = []
+        for first, blob in asked:
+            histories, words, (per_pair, pieces, times) = unpack_pairs(blob)
+            counts = pairs.counts_of(histories, words)
+            whole, weight = np.ones(len(words)), np.ones(len(words))
+            if len(context):
+                at = np.minimum(np.searchsorted(context, histories), len(context) - 1)
+                met = context[at] == histories
+                whole[met], weight[met] = facts[at[met], 0], facts[at[met], 1]
+            seen, rare = counts > 0, words >= FIRST
+            logs = np.log10(np.where(seen, discounted(counts, factors) / whole, weight))
+            down = ~seen & ~rare
+            logs[down] += np.log10(known.chance(known.count(words[down])))
+            sums = np.bincount(pieces, np.repeat(logs, per_pair) * times)
+            met = np.unique(pieces).astype(np.int64)
+            out.append((first + met, np.full(len(met), -1), np.zeros(len(met), np.int64), sums[met]))
+            asks = np.repeat(~seen & rare, per_pair)
             if asks.any():
-                hashes = (np.repeat(words[some], per_pair)[asks] & ~RARE).view(np.int64)
-                out.append([first + pieces[asks].astype(np.int64), hashes, times[asks].astype(np.int64), np.zeros(len(hashes))])
-        found = []
-        for texts, hashes, back, sums in out:
-            zero = np.zeros(len(texts), np.int64)
-            found.append(batch_of(schema, [texts, hashes, [None] * len(texts), zero, zero, back, zero.astype(float), sums]))
-        return pa.Table.from_batches(found)
+                hashes = (np.repeat(words, per_pair)[asks] & ~RARE).view(np.int64)
+                out.append((first + pieces[asks].astype(np.int64), hashes, times[asks].astype(np.int64), np.zeros(len(hashes))))
+        texts, hashes, back, sums = (np.concatenate(column) for column in zip(*out, strict=True))
+        none, zero = pa.nulls(len(texts), pa.bool_()), np.zeros(len(texts), np.int64)
+        listed = pa.array(hashes, mask=hashes < 0)
+        return pa.Table.from_batches([batch_of(schema, [texts, listed, none, zero, zero, back, zero.astype(float), sums])])
 
     stored_pairs = model.grams.select("bucket", F.lit(GRAMS).alias("kind"), F.lit(0).cast("long").alias("first"), "pairs")
     weights = map_batches(model.contexts, context_blobs, asked_schema)
