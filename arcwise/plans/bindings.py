@@ -67,3 +67,44 @@ def part_tree(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("p_size") / 25).alias("local_position_y"),
         (F.col("p_retailprice") / 10000).alias("local_orientation"),
     )
+
+
+def part_star(spark: SparkSession, folder: str) -> DataFrame:
+    """All parts as children of the one of the smallest key."""
+    parts = part_tree(spark, folder)
+    return parts.withColumn("parent_id", F.when(F.col("joint_id") > 0, F.lit(0)).cast("bigint"))
+
+
+def part_path(spark: SparkSession, folder: str) -> DataFrame:
+    """Each part as the child of the part before it."""
+    parts = part_tree(spark, folder)
+    return parts.withColumn("parent_id", F.when(F.col("joint_id") > 0, F.col("joint_id") - 1))
+
+
+def order_chains(
+    spark: SparkSession, folder: str, resolution: int
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A chain of joints per line number, one joint per order that has such a line: long, with gaps.
+
+    Lines repeat in the given table, so a joint sums or takes the largest of what its lines say.
+    """
+    lines = table(spark, folder, "lineitem")
+    joints = lines.groupBy("l_linenumber", "l_orderkey").agg(
+        (F.sum("l_quantity") / 1000).alias("position_x"),
+        (F.max("l_discount") / 10).alias("orientation_amplitude"),
+        (F.max("l_tax") * 50).alias("orientation_phase"),
+        (F.min("l_tax") * 30).alias("orientation_phase_offset"),
+    )
+    joints = joints.select(
+        F.concat(F.lit("motion_"), "l_linenumber").alias("motion_id"),
+        F.col("l_orderkey").cast("int").alias("joint_index"),
+        "position_x",
+        "orientation_amplitude",
+        "orientation_phase",
+        "orientation_phase_offset",
+    )
+    motions = motion.motion_roots(
+        lines.select(F.concat(F.lit("motion_"), "l_linenumber").alias("motion_id"), F.lit(1).alias("joint_count")).distinct()
+    )
+    animations, frames = sweep.sweep(motions, resolution)
+    return motions, joints, animations, frames

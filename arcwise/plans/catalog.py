@@ -25,11 +25,11 @@ def query(function: Query) -> Query:
     return function
 
 
-def _six(rows: DataFrame, *keep: str) -> DataFrame:
+def _six(rows: DataFrame, *keep: str, places: int = 6) -> DataFrame:
     """DOUBLE columns rounded to six places, except those in ``keep``."""
     return rows.select(
         *[
-            rounded(F.col(name), 6).alias(name) if kind == "double" and name not in keep else F.col(name)
+            rounded(F.col(name), places).alias(name) if kind == "double" and name not in keep else F.col(name)
             for name, kind in rows.dtypes
         ]
     )
@@ -170,6 +170,12 @@ def fk_long_chains(spark, folder):
     return _six(kinematics.resolve_long_chains(*inputs, limit=0, block_joints=2))
 
 
+@query
+def fk_sparse_chains(spark, folder):
+    """Chains of thousands of joints with gaps, in blocks of the usual size; sums of thousands, so three places."""
+    return _six(kinematics.effector_table(*b.order_chains(spark, folder, 4)), places=3)
+
+
 def _local_effectors(spark, folder):
     inputs = b.customer_animations(spark, folder)
     joints = kinematics.oscillate_joints(kinematics.animation_joints(*inputs))
@@ -196,6 +202,19 @@ def fk_tree(spark, folder):
     return _six(kinematics.resolve_tree(b.part_tree(spark, folder)))
 
 
+@query
+def fk_tree_star(spark, folder):
+    """All parts under one root, which counts as a hub from 64 children on."""
+    return _six(kinematics.resolve_tree(b.part_star(spark, folder), hub_children=64))
+
+
+@query
+def fk_tree_path(spark, folder):
+    """A tree as deep as it has joints. Positions are sums of thousands, so three places; headings are sums of six."""
+    placed = kinematics.resolve_tree(b.part_path(spark, folder))
+    return _six(placed.withColumn("orientation", rounded(F.col("orientation"), 6)), "orientation", places=3)
+
+
 @query
 def animation_documents(spark, folder):
     documents = kinematics.document_table(*b.customer_animations(spark, folder))

@@ -159,6 +159,56 @@ placed AS (
 SELECT joint_id, parent_id, {r6('x', 'position_x')}, {r6('y', 'position_y')}, {r6('heading', 'orientation')}
 FROM placed"""
 
+_PART_JOINTS = """parts AS (
+  SELECT p_partkey AS joint_id, p_size / 50e0 AS lx, p_size / 25e0 AS ly, p_retailprice / 10000e0 AS turn FROM part)"""
+
+ORACLES["fk_tree_star"] = _with(_PART_JOINTS) + f"""
+SELECT j.joint_id, CASE WHEN j.joint_id > 0 THEN CAST(0 AS BIGINT) END AS parent_id,
+       {r6('CASE WHEN j.joint_id > 0 THEN r.lx + j.lx * cos(r.turn) ELSE j.lx END', 'position_x')},
+       {r6('CASE WHEN j.joint_id > 0 THEN r.ly + j.ly * sin(r.turn) ELSE j.ly END', 'position_y')},
+       {r6('CASE WHEN j.joint_id > 0 THEN r.turn + j.turn ELSE j.turn END', 'orientation')}
+FROM parts AS j JOIN parts AS r ON r.joint_id = 0"""
+
+# Joints are numbered from 0 without gaps, so the path of a joint is all joints up to it.
+ORACLES["fk_tree_path"] = _with(
+    _PART_JOINTS,
+    """turned AS (
+  SELECT *, sum(turn) OVER upto AS heading,
+         coalesce(sum(turn) OVER (ORDER BY joint_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS heading_in
+  FROM parts WINDOW upto AS (ORDER BY joint_id ROWS UNBOUNDED PRECEDING))""",
+    """placed AS (
+  SELECT joint_id, heading, sum(CASE WHEN joint_id = 0 THEN lx ELSE lx * cos(heading_in) END) OVER upto AS x,
+         sum(CASE WHEN joint_id = 0 THEN ly ELSE ly * sin(heading_in) END) OVER upto AS y
+  FROM turned WINDOW upto AS (ORDER BY joint_id ROWS UNBOUNDED PRECEDING))""",
+) + """
+SELECT joint_id, CASE WHEN joint_id > 0 THEN joint_id - 1 END AS parent_id, round(x, 3) + 0 AS position_x,
+       round(y, 3) + 0 AS position_y, round(heading, 6) + 0 AS orientation
+FROM placed"""
+
+ORACLES["fk_sparse_chains"] = _with(
+    """joints AS (
+  SELECT l_linenumber AS line, l_orderkey AS joint_index, sum(l_quantity) / 1000e0 AS position_x,
+         max(l_discount) / 10e0 AS amplitude, max(l_tax) * 50e0 AS phase, min(l_tax) * 30e0 AS phase_offset
+  FROM lineitem GROUP BY l_linenumber, l_orderkey)""",
+    """fanned AS (
+  SELECT line, frame_index, joint_index, position_x, CAST(frame_index AS DOUBLE) * (0.75e0 / 3) AS time,
+         amplitude * sin(phase * (CAST(frame_index AS DOUBLE) * (0.75e0 / 3)) + phase_offset) AS angle
+  FROM joints, range(4) AS grid(frame_index))""",
+    """headed AS (
+  SELECT *, sum(angle) OVER (PARTITION BY line, frame_index ORDER BY joint_index) AS heading,
+         coalesce(sum(angle) OVER (PARTITION BY line, frame_index ORDER BY joint_index
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS heading_in
+  FROM fanned)""",
+    """placed AS (
+  SELECT *, sum(position_x * cos(heading_in)) OVER (PARTITION BY line, frame_index ORDER BY joint_index) AS x,
+         sum(position_x * sin(heading_in)) OVER (PARTITION BY line, frame_index ORDER BY joint_index) AS y
+  FROM headed)""",
+) + """
+SELECT 'anim_' || (line + 1) AS animation_id, 'frame_' || (line * 4 + frame_index + 1) AS frame_id,
+       CAST(joint_index AS INTEGER) AS effector_index, round(x + cos(pi() * 1.1e0) * time, 3) + 0 AS effector_position_x,
+       round(y + sin(pi() * 1.1e0) * time, 3) + 0 AS effector_position_y, round(heading, 3) + 0 AS effector_orientation
+FROM placed"""
+
 ORACLES["animation_documents"] = POSED + (
     f"SELECT animation_id, CAST(0 AS INTEGER) AS page, CAST(0 AS INTEGER) AS joint_page, frame_index AS frame_position, {r6('time')},"
     f" effector_index AS effector_position, {r6('x', 'position_x')}, {r6('y', 'position_y')}, {r6('heading', 'orientation')},"

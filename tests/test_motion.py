@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -281,3 +282,80 @@ def test_refine_keeps_the_grid_and_drops_repeats(spark):
     assert places == [(0, False), (1, True), (2, False), (3, True)]
     assert all(r["lod_index"] == 1 for r in refined)
     assert sum(r["h"] is None for r in refined) == 2
+
+
+def test_long_chains_by_merged_groups(spark, monkeypatch):
+    """Small groups and no broadcast: two levels of blocks, and no hash table that holds joints."""
+    monkeypatch.setattr(kinematics, "SMALL_ENTRIES", 0)
+    monkeypatch.setattr(kinematics, "GROUP_BLOCKS", 3)
+    inputs = long_inputs(spark)
+    table = kinematics.resolve_long_chains(*inputs, limit=10, block_joints=7)
+    text = table._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text
+    assert not re.search(r"(?:BroadcastExchange|ShuffledHashJoin)(?:(?!Exchange).)*chain#", text)
+    expected = {k: v for k, v in brute_effectors(inputs).items() if k[0] != "anim_1"}
+    rows = table.collect()
+    assert len(rows) == len(expected)
+    for r in rows:
+        found = (r["effector_position_x"], r["effector_position_y"], r["effector_orientation"])
+        assert found == pytest.approx(expected[r["animation_id"], r["frame_id"], r["effector_index"]], abs=1e-9)
+
+
+@pytest.mark.parametrize("limit", [0, 64])
+def test_a_repeated_joint_raises_on_every_route(spark, limit):
+    motions, joints, animations, frames = long_inputs(spark, [3])
+    twice = joints.unionByName(joints.filter("joint_index = 1"))
+    with pytest.raises(Exception, match="joint_index is repeated"):
+        kinematics.effector_table(motions, twice, animations, frames, limit=limit).collect()
+    rows = kinematics.oscillate_joints(kinematics.animation_joints(motions, twice, animations, frames))
+    local = rows.select("animation_id", "frame_id", "joint_index", "position_x", "orientation")
+    with pytest.raises(Exception, match="joint_index is repeated"):
+        kinematics.resolve_chains(local).collect()
+
+
+TREE = (
+    "joint_id bigint, parent_id bigint, local_position_x double, local_position_y double,"
+    " local_orientation double"
+)
+
+
+@pytest.mark.parametrize("small_hubs", [100, 0])
+def test_crowded_ancestors(spark, monkeypatch, small_hubs):
+    """Hubs by broadcast and by salted parts give the same places as one plain join."""
+    monkeypatch.setattr(kinematics, "SMALL_HUBS", small_hubs)
+    rng = random.Random(5)
+    value = lambda: rng.random() * 2 - 1
+    joints = [(i, None if i == 0 else i - 1 if i < 20 else rng.choice((0, 7, 19, i - 1)), value(), value(), value()) for i in range(400)]
+    rows = kinematics.resolve_tree(spark.createDataFrame(joints, TREE), hub_children=30).collect()
+    expected = brute_tree(joints)
+    assert {r["joint_id"] for r in rows} == set(expected) and len(rows) == 400
+    for r in rows:
+        assert (r["position_x"], r["position_y"], r["orientation"]) == pytest.approx(expected[r["joint_id"]], abs=1e-9)
+
+
+def test_rounds_and_rows_written_by_trees(spark, monkeypatch):
+    """A star takes one round; a path of 100 takes seven, and finished joints are not written again."""
+    written = []
+    keep = kinematics.stored
+
+    def counted(rows, name):
+        table = keep(rows, name)
+        if name == "tree":
+            written.append(table.count())
+        return table
+
+    monkeypatch.setattr(kinematics, "stored", counted)
+    star = [(i, None if i == 0 else 0, 1.0, 1.0, 0.1) for i in range(100)]
+    assert len(kinematics.resolve_tree(spark.createDataFrame(star, TREE), hub_children=10).collect()) == 100
+    assert written == [100, 99]
+    written.clear()
+    line = [(i, None if i == 0 else i - 1, 1.0, 1.0, 0.1) for i in range(100)]
+    assert len(kinematics.resolve_tree(spark.createDataFrame(line, TREE)).collect()) == 100
+    # After k rounds the joints of depth under 2^k are finished.
+    assert written == [100, 99, 98, 96, 92, 84, 68, 36]
+
+
+def test_a_repeated_joint_of_a_tree_raises(spark):
+    joints = [(0, None, 0.0, 0.0, 0.0), (1, 0, 1.0, 1.0, 0.0), (1, 0, 2.0, 2.0, 0.0)]
+    with pytest.raises(ValueError, match="joint_id 1 is repeated"):
+        kinematics.resolve_tree(spark.createDataFrame(joints, TREE))
