@@ -6,7 +6,9 @@ as one row with page 0; a longer one goes on in pages 1, 2, ... and nothing is l
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcwise.functions.arrays import ordered_list
@@ -22,36 +24,44 @@ LOWER, UPPER = "positive", "negative"
 # -- joining features back ----------------------------------------------------------------------
 
 
-def fan_in(points: DataFrame, features: list[DataFrame], on: list[str]) -> DataFrame:
-    """Left-join stored feature tables to their points, one shuffle per table.
-
-    Features are about as many as points, so sorting and merging is asked for: they must not be
-    broadcast when their size is misjudged. Where the features can still be computed from the points,
-    ``path.feature_table`` gives the same rows without any of these joins.
-    """
-    joined = points
-    for table in features:
-        joined = joined.join(table.hint("merge"), on, "left")
-    return joined
-
-
-def fan_in_effectors(
-    effectors: DataFrame,
-    frames: DataFrame,
-    curvatures: DataFrame,
-    peaks: DataFrame,
-    tangents: DataFrame,
-    bisectors: DataFrame,
+def fan_in(
+    points: DataFrame,
+    features: list[DataFrame],
+    on: list[str],
+    coarse: DataFrame | None = None,
+    coarse_on: list[str] | None = None,
 ) -> DataFrame:
-    """Every effector row with its time and all path features; its position is named x, y.
+    """Stored feature tables beside their points, by one shuffle of all tables stacked, without a join.
 
-    Effectors without a frame or without a feature stay, with NULLs; features without an effector go.
+    Points stay, with NULLs where a table has no row of their key; features without a point go. A key
+    has at most one row per feature table. ``coarse`` is a further table whose key ``coarse_on``, the first
+    columns of ``on``, is shared by many points. Points with a NULL in their key meet nothing and are not
+    shuffled. Where features can still be computed from the points, ``path.feature_table`` needs none of this.
     """
-    series = ["animation_id", "frame_id", "effector_index"]
-    features = fan_in(effectors, [tangents, bisectors, curvatures, peaks], series)
-    times = frames.select(*series[:2], "time", "frame_index").hint("merge")
-    placed = features.withColumnRenamed("effector_position_x", "x").withColumnRenamed("effector_position_y", "y")
-    return placed.join(times, series[:2], "left")
+    tables = [(table, on) for table in features] + ([(coarse, coarse_on)] if coarse is not None else [])
+    added = [(field, key) for table, key in tables for field in table.schema if field.name not in key]
+    empty = [F.lit(None).cast(field.dataType).alias(field.name) for field, _ in added]
+    keyless = ~reduce(lambda a, b: a & b, [F.col(name).isNotNull() for name in on])
+    source, shared = F.lit(0).alias("source_"), coarse_on or on
+    stacked = [points.filter(~keyless).select("*", *empty, source)]
+    for number, (table, _) in enumerate(tables, 1):
+        stacked.append(table.withColumn("source_", F.lit(number)))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stacked).repartition(*shared)
+    # The longer key goes first: its sort holds for the shorter one too, and all windows share this shuffle.
+    for key in ([on, shared] if coarse is not None else [on]):
+        whole = Window.partitionBy(*key)
+        named = [field.name for field, own in added if own == key]
+        rows = rows.withColumns({name: F.first(name, ignorenulls=True).over(whole) for name in named})
+    placed = rows.filter("source_ = 0").drop("source_")
+    return placed.unionByName(points.filter(keyless).select("*", *empty))
+
+
+def effector_features(effectors: DataFrame, frames: DataFrame, features: list[DataFrame]) -> DataFrame:
+    """Every effector with its time, its frame's place and all path features; its position is named x, y."""
+    key = ["animation_id", "frame_id", "effector_index"]
+    points = effectors.withColumnsRenamed({"effector_position_x": "x", "effector_position_y": "y"})
+    times = frames.select("animation_id", "frame_id", "time", "frame_index")
+    return fan_in(points, features, key, times, key[:2])
 
 
 def normalise_curvature(

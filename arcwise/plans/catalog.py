@@ -523,3 +523,36 @@ def validate_tables(spark, folder):
     tables = {name: b.table(spark, folder, name) for name in names}
     tables["knots"] = path.path_knots(b.event_points(spark, folder), EVENT_PATHS, COMPARE_DIGITS)
     return validate.validate(tables, TABLE_RULES)
+
+
+@query
+def validate_generated(spark, folder):
+    """The standard rules over the generated chains, frames and effectors of all customers."""
+    motions, joints, animations, frames = b.customer_animations(spark, folder)
+    effectors = kinematics.effector_table(motions, joints, animations, frames)
+    tables = {
+        "motions": motions,
+        "motion_joints": joints,
+        "animations": animations,
+        "animation_frames": frames.select("animation_id", "lod_index", "frame_index", "time", "frame_id"),
+        "animation_effectors": effectors,
+    }
+    return validate.validate(tables, validate.standard_rules(tables))
+
+
+@query
+def validate_damaged(spark, folder):
+    """Orders written as CSV with some cells, dates and rows damaged; the scan reports them and does not abort."""
+    orders = b.table(spark, folder, "orders")
+    key = F.col("o_orderkey")
+    damaged = orders.select(
+        F.when(key % 7 == 3, F.lit("no key")).otherwise(key.cast("string")).alias("o_orderkey"),
+        F.col("o_custkey").cast("string").alias("o_custkey"),
+        "o_orderstatus",
+        F.when(key % 11 == 5, F.concat(F.lit("$"), F.col("o_totalprice"))).otherwise(F.col("o_totalprice").cast("string")).alias("o_totalprice"),
+        F.when(key % 13 == 1, F.lit("soon")).otherwise(F.col("o_orderdate").cast("string")).alias("o_orderdate"),
+        "o_orderpriority",
+    )
+    target = scratch_path(spark, "orders-damaged")
+    write_csv(damaged, target)
+    return validate.stored_cells(spark, target, "orders", orders.schema).filter("rule <> 'header'")

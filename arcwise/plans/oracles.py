@@ -589,3 +589,64 @@ ORACLES["validate_tables"] = PATHS + (
     )
     + ")"
 )
+
+ORACLES["validate_damaged"] = """
+WITH broken AS (
+  SELECT count(*) AS n, count(*) FILTER (WHERE o_orderkey % 7 = 3) AS keys,
+         count(*) FILTER (WHERE o_orderkey % 11 = 5) AS prices, count(*) FILTER (WHERE o_orderkey % 13 = 1) AS dates
+  FROM orders)
+SELECT 'orders' AS table_name, rule, n AS n_rows, n_violations, n_violations = 0 AS passed FROM (
+  SELECT 'whole_rows' AS rule, n, 0 AS n_violations FROM broken
+  UNION ALL SELECT 'cells(o_orderkey)', n, keys FROM broken
+  UNION ALL SELECT 'cells(o_custkey)', n, 0 FROM broken
+  UNION ALL SELECT 'cells(o_orderstatus)', n, 0 FROM broken
+  UNION ALL SELECT 'cells(o_totalprice)', n, prices FROM broken
+  UNION ALL SELECT 'cells(o_orderdate)', n, dates FROM broken
+  UNION ALL SELECT 'cells(o_orderpriority)', n, 0 FROM broken)"""
+
+_GENERATED = {
+    "motions": ("motions", ["motion_id"]),
+    "motion_joints": ("joints", ["motion_id", "joint_index"]),
+    "animations": ("animations", ["animation_id"]),
+    "animation_frames": ("frames", ["animation_id", "frame_id"]),
+    "animation_effectors": ("effectors", ["animation_id", "frame_id", "effector_index"]),
+}
+_DECLARED_FIELDS = {"motions": 4, "motion_joints": 6, "animations": 3, "animation_frames": 5, "animation_effectors": 6}
+
+
+def _named(sql: str, child: str, parent: str | None = None) -> str:
+    """The rule's SQL over the common tables, under the names of the generated ones."""
+    sql = sql.replace(f"'{_GENERATED[child][0]}'", f"'{child}'", 1)
+    return sql.replace(f"->{_GENERATED[parent][0]})", f"->{parent})", 1) if parent else sql
+
+
+def _generated_rules() -> list[str]:
+    parts = []
+    for name, (source, key) in _GENERATED.items():
+        fields = _DECLARED_FIELDS[name]
+        parts.append(f"SELECT '{name}' AS table_name, 'schema' AS rule, {fields} AS n_rows, 0 AS n_violations")
+        parts.append(_named(_unique(source, *key), name))
+        parts += [
+            f"SELECT '{name}', 'not_null({column})', count(*), count(*) FILTER (WHERE {column} IS NULL) FROM {source}"
+            for column in key
+        ]
+    for child, columns, parent in (
+        ("motion_joints", ["motion_id"], "motions"),
+        ("animations", ["motion_id"], "motions"),
+        ("animation_frames", ["animation_id"], "animations"),
+        ("animation_effectors", ["animation_id", "frame_id"], "animation_frames"),
+    ):
+        parts.append(_named(_references(_GENERATED[child][0], columns, _GENERATED[parent][0], columns), child, parent))
+    parts.append(_named(_contiguous("joints", "motion_id", "joint_index"), "motion_joints"))
+    parts.append(_named(_contiguous("frames", "animation_id, lod_index", "frame_index"), "animation_frames"))
+    parts.append(
+        "SELECT 'animation_frames', 'between(time)', count(*), count(*) FILTER (WHERE time < 0 OR time > 1) FROM frames"
+    )
+    return parts
+
+
+ORACLES["validate_generated"] = POSED + (
+    "SELECT table_name, rule, n_rows, n_violations, n_violations = 0 AS passed FROM (\n"
+    + "\nUNION ALL\n".join(_generated_rules())
+    + ")"
+)

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 CSV_QUOTES = {"quote": '"', "escape": '"'}
 CSV_SPACES = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 EMPTY_FIELD = "\x00"
+CSV_TEXT = {"nullValue": EMPTY_FIELD, "emptyValue": "", **CSV_QUOTES, **CSV_SPACES}
 
 
 def read_csv(
@@ -29,12 +30,35 @@ def read_csv(
     # A row that does not fit its declared types must not turn into NULLs unseen, and columns in
     # another order than declared must not be taken for each other.
     options = {"header": True, "mode": "FAILFAST", "enforceSchema": False, "multiLine": multi_line}
-    options |= {"nullValue": EMPTY_FIELD, "emptyValue": "", **CSV_QUOTES, **CSV_SPACES}
-    return spark.read.schema(schema).options(**options).csv(path)
-
-
-def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return spark.read.schema(schema).options(**options, **CSV_TEXT).csv(path)
+
+
+def key_drift(declared: T.DataType, found: T.DataType, at: str = "") -> list[str]:
+    """Keys of stored documents that the declared type does not know, and declared ones that no document has."""
+    while isinstance(declared, T.ArrayType) and isinstance(found, T.ArrayType):
+        declared, found, at = declared.elementType, found.elementType, f"{at}[]"
+    if not isinstance(declared, T.StructType) or not isinstance(found, T.StructType):
+        return []
+    drift = [f"unknown {at}.{name}" for name in found.names if name not in declared.names]
+    drift += [f"missing {at}.{name}" for name in declared.names if name not in found.names]
+    for field in declared:
+        if field.name in found.names:
+            drift += key_drift(field.dataType, found[field.name].dataType, f"{at}.{field.name}")
+    return drift
+
+
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str, check_keys: bool = True) -> DataFrame:
+    """Stored documents. Without ``check_keys`` a misspelt key is NULL; with it one more scan compares all keys.
+
+    A key that no document has is missing; where some have it, it is NULL in the others. Files without rows pass.
+    """
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    if check_keys:
+        found = spark.read.option("mode", "FAILFAST").json(path).schema
+        drift = key_drift(rows.schema, found) if found.names else []
+        if drift:
+            raise ValueError(f"{path} does not have the declared keys: {', '.join(drift)}")
+    return rows
 
 
 def write_csv(table: DataFrame, path: str, multi_line: bool = False) -> None:
