@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from arcwise.llm.frames import batch_of, map_batches, stored
 
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 1 << 19
 """Tokens per chunk; longer texts go on in further chunks."""
 BUCKET_TOKENS = 1 << 21
 """Tokens per bucket of pairs: the number of buckets grows with the corpus."""
