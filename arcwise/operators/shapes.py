@@ -47,7 +47,7 @@ def fan_in(
     for number, (table, _) in enumerate(tables, 1):
         stacked.append(table.withColumn("source_", F.lit(number)))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stacked).repartition(*shared)
-    # The longer key goes first: its sort holds for the shorter one too, and all windows share this shuffle.
+    # Rows of the shorter key lie together, and so do those of the longer one: all windows share this shuffle.
     for key in ([on, shared] if coarse is not None else [on]):
         whole = Window.partitionBy(*key)
         named = [field.name for field, own in added if own == key]

@@ -136,4 +136,5 @@ def test_features_beside_points_take_one_shuffle(spark, tmp_path):
     points, bent, named, frames = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("points", "bent", "named", "frames"))
     table = shapes.effector_features(points, frames, [bent, named])
     assert shuffles(table) == 1 and "Join" not in plan(table)
-    assert plan(table).count("Sort [") == 1
+    # By the frame, then within it by the effector.
+    assert plan(table).count("Sort [") == 2
