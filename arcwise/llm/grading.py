@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from arcwise.llm.frames import batch_of, map_batches
 
 BINS = 1 << 20
+GRADED_TEXTS = 512
 SAMPLE_ROWS = 20_000
 LEAST_SEEN = 4
 STEPS, RATE, PENALTY = 400, 0.3, 2e-4
@@ -209,13 +210,17 @@ def label_grade() -> Column:
 
 
 def selected(docs: DataFrame, grader: Grader, above: int, least: float, text_column: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose P(grade > ``above``) is at least ``least``."""
+    """The rows of ``docs``, all columns, whose P(grade > ``above``) is at least ``least``.
+
+    Only texts go to Python and only probabilities come back. A null text is an empty one; repeated rows
+    are judged each, and an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(grader)
-    place = docs.columns.index(text_column)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(shared.value.tails(batch.column(place).to_pylist())[:, above] >= least))
+    @F.arrow_udf("double")
+    def tail(texts: pa.Array) -> pa.Array:
+        slices = [texts.slice(at, GRADED_TEXTS).to_pylist() for at in range(0, len(texts), GRADED_TEXTS)]
+        found = [shared.value.tails(part)[:, above] for part in slices]
+        return pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
 
-    return map_batches(docs, work, docs.schema)
+    return docs.filter(tail(F.col(text_column)) >= least)
