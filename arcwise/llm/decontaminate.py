@@ -101,18 +101,25 @@ class Index:
             if words:
                 self.items.append((key, [self.vocabulary[word] for word in words]))
         sizes = [len(words) for _, words in self.items] or [1]
+        # The runs of words of all items by length q, each once and in order; tables below are as long as these. One
+        # byte per value of a run's hash tells first whether there is any such run.
+        own: dict[int, list[np.ndarray]] = {}
+        for _, words in self.items:
+            q = self._run_of(len(words))
+            own.setdefault(q, []).append(self._grams(np.array(words, np.int64), q))
+        self.known = {q: np.unique(np.concatenate(parts)) for q, parts in own.items()}
+        self.any = {q: np.zeros(1 << GRAM_BITS, bool) for q in own}
+        for q, known in self.known.items():
+            self.any[q][known] = True
         # For each run of words: how far before it a window of its items may start, at least and at most.
-        self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.grams = {q: (np.full(len(k), 1 << 30, np.int32), np.full(len(k), -(1 << 30), np.int32)) for q, k in self.known.items()}
         for _, words in self.items:
-            edits = edits_of(len(words))
-            q = min(3, len(words) // (edits + 1))
-            if q not in self.grams:
-                self.grams[q] = (np.full(1 << GRAM_BITS, 1 << 30, np.int32), np.full(1 << GRAM_BITS, -(1 << 30), np.int32))
-            grams = self._grams(np.array(words, np.int64), q)
-            places = np.arange(len(grams), dtype=np.int32)
-            np.minimum.at(self.grams[q][0], grams, places - edits)
-            np.maximum.at(self.grams[q][1], grams, places + edits)
-        self.runs = {q: self._postings(q) for q in self.grams}
+            edits, q = edits_of(len(words)), self._run_of(len(words))
+            ranks = np.searchsorted(self.known[q], self._grams(np.array(words, np.int64), q))
+            places = np.arange(len(ranks), dtype=np.int32)
+            np.minimum.at(self.grams[q][0], ranks, places - edits)
+            np.maximum.at(self.grams[q][1], ranks, places + edits)
+        self.runs = {q: self._postings(q) for q in self.known}
         self.lengths = np.array([len(words) for _, words in self.items], np.int64)
         self.longest = int(self.lengths.max(initial=0) + edits_of(self.lengths).max(initial=0)) + 1
         classes, size = [], min(sizes)
@@ -164,17 +171,21 @@ class Index:
         item = np.concatenate([np.full(len(grams), k, np.int32) for k, grams in own])
         offset = np.concatenate([np.arange(len(grams), dtype=np.int32) for _, grams in own])
         order = np.argsort(grams, kind="stable")
-        first = np.zeros((1 << GRAM_BITS) + 1, np.int32)
-        np.cumsum(np.bincount(grams, minlength=1 << GRAM_BITS), out=first[1:])
+        first = np.searchsorted(grams[order], np.append(self.known[q], 1 << GRAM_BITS)).astype(np.int32)
         return first, item[order], offset[order]
 
+    def _met(self, ids: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of a text's runs that some item has, and their ranks among the items' runs."""
+        grams = self._grams(ids, q)
+        places = np.flatnonzero(self.any[q][grams] & (ids[: len(grams)] > 0))
+        return places, np.searchsorted(self.known[q], grams[places])
+
     def counted(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Items and starts where as many of the item's runs lie together as the distance must leave."""
         for q, (first, item, offset) in self.runs.items():
-            grams = self._grams(ids, q)
-            sizes = (first[grams + 1] - first[grams]).astype(np.int64)
-            places = np.flatnonzero((sizes > 0) & (ids[: len(grams)] > 0))
-            total = np.concatenate([[0], np.cumsum(sizes[places])])
+            places, ranks = self._met(ids, q)
+            sizes = (first[ranks + 1] - first[ranks]).astype(np.int64)
+            total = np.concatenate([[0], np.cumsum(sizes)])
             low = 0
             while low < len(places):
                 high = max(low + 1, int(np.searchsorted(total, total[low] + SLICE_RUNS, side="right")) - 1)
@@ -183,8 +194,8 @@ class Index:
                 if high < len(places) and back <= low:
                     high = max(high, int(np.searchsorted(places, places[low] + 2 * self.longest, side="right")))
                     back = max(low + 1, int(np.searchsorted(places, places[high - 1] - self.longest))) if high < len(places) else high
-                own, count = places[low:high], sizes[places[low:high]]
-                at = np.repeat(first[grams[own]] - (total[low:high] - total[low]), count) + np.arange(int(count.sum()))
+                own, count = places[low:high], sizes[low:high]
+                at = np.repeat(first[ranks[low:high]] - (total[low:high] - total[low]), count) + np.arange(int(count.sum()))
                 yield self._close(item[at].astype(np.int64), np.repeat(own, count) - offset[at], q)
                 low = back
 
@@ -222,12 +233,9 @@ class Index:
         """Starts of the windows that may hold an item."""
         change = np.zeros(len(ids) + 1, np.int64)
         for q, (least, most) in self.grams.items():
-            grams = self._grams(ids, q)
-            if len(grams):
-                hit = np.flatnonzero((most[grams] > -(1 << 30)) & (ids[: len(grams)] > 0))
-                own = grams[hit]
-                np.add.at(change, np.clip(hit - most[own], 0, len(ids)), 1)
-                np.add.at(change, np.clip(hit - least[own] + 1, 0, len(ids)), -1)
+            hit, own = self._met(ids, q)
+            np.add.at(change, np.clip(hit - most[own], 0, len(ids)), 1)
+            np.add.at(change, np.clip(hit - least[own] + 1, 0, len(ids)), -1)
         return np.flatnonzero(np.cumsum(change[:-1]) > 0)
 
     def search(self, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
