@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 
 from arcwise.llm.frames import batch_of, map_batches
 
-KEPT_PIECES = 600_000
+KEPT_PIECES = 200_000
+"""Pieces of each of the two generations that a worker remembers."""
 KEPT_CHARS = 40
 TEXTS_AT_ONCE = 128
 ID_BYTES = 4  # of an id in bytes
@@ -50,6 +51,7 @@ class Encoder:
             and not any(added.get("lstrip") or added.get("rstrip") for added in setup.get("added_tokens", []))
         )
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -67,11 +69,14 @@ class Encoder:
         split = [BEFORE_WORD.split(text) for text in texts]
         heads = [pieces[0] for pieces in split]
         wanted = set().union(*split)
-        known = self.known
-        missing = [piece for piece in wanted if piece not in known]
-        if len(known) + len(missing) > KEPT_PIECES:
-            known.clear()
-            missing = list(wanted)
+        if len(self.known) > KEPT_PIECES:
+            # Pieces met again since the last change of generations stay, all others go.
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        missing = list(wanted.difference(known))
+        if older:
+            known.update([(piece, older[piece]) for piece in missing if piece in older])
+            missing = [piece for piece in missing if piece not in older]
         fresh = self._encode([" " + piece for piece in missing] + heads)
         long = {}
         for piece, ids in zip(missing, fresh, strict=False):
