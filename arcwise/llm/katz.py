@@ -562,7 +562,8 @@ def fit_chunks(chunks: DataFrame, bucket_tokens: int = BUCKET_TOKENS, frequent:
 # -- scoring ------------------------------------------------------------------------------------
 
 GRAMS, CONTEXTS, ASKED = range(3)
-PARTIAL = "text LONG, word LONG, held BOOLEAN, tokens LONG, known LONG, back LONG, base DOUBLE, score DOUBLE"
+PARTIAL = "text LONG, word LONG, held BOOLEAN, tokens LONG, known LONG, back LONG, base DOUBLE, sums BINARY"
+"""A row per text; per text and rare word; or, with ``sums``, the scores of all texts of a chunk in one bucket."""
 
 
 def _base_rows(chunks: DataFrame, known: Vocabulary) -> DataFrame:
@@ -584,20 +585,20 @@ def _base_rows(chunks: DataFrame, known: Vocabulary) -> DataFrame:
                 whole = [
                     texts, none, pa.array(chunk.held), np.bincount(pieces, minlength=size),
                     np.bincount(at, counts[own] > 0, minlength=size).astype(np.int64), zero,
-                    np.bincount(at, bases[own], minlength=size), np.zeros(size),
+                    np.bincount(at, bases[own], minlength=size), none,
                 ]
                 yield batch_of(schema, whole)
                 rare, times = np.unique(pieces[~common] << 32 | words[~common], return_counts=True)
                 if len(rare):
                     none, zero = [None] * len(rare), np.zeros(len(rare), np.int64)
                     hashes = chunk.hashes[rare & 0xFFFFFFFF].view(np.int64)
-                    yield batch_of(schema, [chunk.first + (rare >> 32), hashes, none, times, zero, zero, np.zeros(len(rare)), np.zeros(len(rare))])
+                    yield batch_of(schema, [chunk.first + (rare >> 32), hashes, none, times, zero, zero, np.zeros(len(rare)), none])
 
     return map_batches(chunks.select("first", "parts"), work, schema)
 
 
 def _pair_rows(chunks: DataFrame, model: Model) -> DataFrame:
-    """Per text and bucket the scores of its pairs; a row per text and rare word for those handed down."""
+    """Per chunk and bucket the scores of its texts' pairs; a row per text and rare word for those handed down."""
     asked_schema = T.StructType.fromDDL("bucket INT, kind INT, first LONG, pairs BINARY")
     schema = T.StructType.fromDDL(PARTIAL)
     known, factors, hot, hot_contexts, buckets = model.known, model.factors, model.hot, model.hot_contexts, model.buckets
@@ -635,7 +636,7 @@ def _pair_rows(chunks: DataFrame, model: Model) -> DataFrame:
         facts = facts[first]
 
         pairs = _Pairs.of(grams)
-        out = []
+        chunks, packs, out = [], [], []
         for first, blob in asked:
             histories, words, (per_pair, pieces, times) = unpack_pairs(blob)
             counts = pairs.counts_of(histories, words)
@@ -650,15 +651,19 @@ def _pair_rows(chunks: DataFrame, model: Model) -> DataFrame:
             logs[down] += np.log10(known.chance(known.count(words[down])))
             sums = np.bincount(pieces, np.repeat(logs, per_pair) * times)
             met = np.unique(pieces).astype(np.int64)
-            out.append((first + met, np.full(len(met), -1), np.zeros(len(met), np.int64), sums[met]))
+            chunks.append(first)
+            packs.append(met.astype("<u4").tobytes() + sums[met].astype("<f8").tobytes())
             asks = np.repeat(~seen & rare, per_pair)
             if asks.any():
                 hashes = (np.repeat(words, per_pair)[asks] & ~RARE).view(np.int64)
-                out.append((first + pieces[asks].astype(np.int64), hashes, times[asks].astype(np.int64), np.zeros(len(hashes))))
-        texts, hashes, back, sums = (np.concatenate(column) for column in zip(*out, strict=True))
-        none, zero = pa.nulls(len(texts), pa.bool_()), np.zeros(len(texts), np.int64)
-        listed = pa.array(hashes, mask=hashes < 0)
-        return pa.Table.from_batches([batch_of(schema, [texts, listed, none, zero, zero, back, zero.astype(float), sums])])
+                out.append((first + pieces[asks].astype(np.int64), hashes, times[asks].astype(np.int64)))
+
+        def rows(texts, words, back, sums) -> pa.RecordBatch:
+            none, zero = [None] * len(texts), np.zeros(len(texts), np.int64)
+            return batch_of(schema, [texts, none if words is None else words, none, zero, zero, back if sums is None else zero, zero.astype(float), none if sums is None else sums])
+
+        handed = [rows(*(np.concatenate(column) for column in zip(*out, strict=True)), None)] if out else []
+        return pa.Table.from_batches([rows(chunks, None, None, packs), *handed])
 
     stored_pairs = model.grams.select("bucket", F.lit(GRAMS).alias("kind"), F.lit(0).cast("long").alias("first"), "pairs")
     weights = map_batches(model.contexts, context_blobs, asked_schema)
@@ -666,6 +671,20 @@ def _pair_rows(chunks: DataFrame, model: Model) -> DataFrame:
     return dealt.unionByName(stored_pairs).unionByName(weights).groupBy("bucket").applyInArrow(score, schema)
 
 
+def _summed(parts: DataFrame) -> DataFrame:
+    """(text, score) from the packed sums of all buckets of a chunk; a chunk's sums are fewer than its tokens."""
+    schema = T.StructType.fromDDL("text LONG, score DOUBLE")
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        packs = table.column("sums").to_pylist()
+        pieces = np.concatenate([np.frombuffer(pack, "<u4", len(pack) // 12) for pack in packs])
+        sums = np.concatenate([np.frombuffer(pack, "<f8", len(pack) // 12, len(pack) // 12 * 4) for pack in packs])
+        met = np.unique(pieces)
+        return pa.Table.from_batches([batch_of(schema, [key[0].as_py() + met.astype(np.int64), np.bincount(pieces, sums)[met]])])
+
+    return parts.groupBy("text").applyInArrow(add, schema)
+
+
 def score_chunks(chunks: DataFrame, model: Model, id_column: str) -> DataFrame:
     """One row per text of the chunks: (id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     known = model.known
@@ -684,8 +703,9 @@ def score_chunks(chunks: DataFrame, model: Model, id_column: str) -> DataFrame:
     )
     ids = chunks.select("first", "goes_on", F.posexplode("ids").alias("place", "id")).filter("place > 0 OR NOT goes_on")
     named = ids.select((F.col("first") + F.col("place")).alias("text"), "id")
-    plain = rows.filter("word IS NULL").select("text", "held", "tokens", "known", "base", "score")
-    sums = plain.unionByName(rare).unionByName(named, allowMissingColumns=True)
+    plain = rows.filter("word IS NULL AND sums IS NULL").select("text", "held", "tokens", "known", "base")
+    summed = _summed(rows.filter("sums IS NOT NULL").select("text", "sums"))
+    sums = rare.unionByName(plain, True).unionByName(summed, True).unionByName(named, True)
     total = sums.groupBy("text").agg(
         F.max("id").alias(id_column),
         F.max("held").alias("held_out"),
