@@ -137,12 +137,12 @@ class Tokens:
                 np.frombuffer(words, "<u8"),
                 np.frombuffer(held, "u1").astype(bool),
                 np.frombuffer(lengths, "<u4").astype(np.int64),
-                _unplaned(tokens, "<u4").astype(np.int64),
+                _unplaned(tokens, "<u4").view("<i4"),
             )
 
     def targets(self) -> tuple[np.ndarray, np.ndarray]:
         """Piece and word number of every token, without the token that each piece begins with."""
-        pieces = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        pieces = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
         begins = np.zeros(len(self.tokens), bool)
         begins[np.cumsum(self.lengths) - self.lengths] = True
         return pieces[~begins], self.tokens[~begins]
@@ -348,14 +348,17 @@ def _dealt(chunk: Tokens, known: Vocabulary, hot: np.ndarray, buckets: int, trai
     pieces, histories, words = chunk.pairs()
     if training:
         some = ~chunk.held[pieces]
-        pieces, histories, words = np.zeros(int(some.sum()), np.int64), histories[some], words[some]
+        pieces, histories, words = np.zeros(int(some.sum()), np.int32), histories[some], words[some]
     if not len(words):
         return
     keys = known.keys(chunk.hashes)
     # Piece, history and word share 64 bits where a chunk is of the usual size.
     bits = max(int(len(chunk.hashes)), int(len(chunk.lengths))).bit_length()
     if 3 * bits < 64:
-        joint = (histories << (2 * bits)) | (words << bits) | pieces
+        joint = histories.astype(np.int64)
+        for part in (words, pieces):
+            joint <<= bits
+            joint |= part
         joint.sort()
         low = (1 << bits) - 1
         histories, words, pieces = joint >> (2 * bits), (joint >> bits) & low, joint & low
@@ -588,7 +591,7 @@ def _base_rows(chunks: DataFrame, known: Vocabulary) -> DataFrame:
                     np.bincount(at, bases[own], minlength=size), none,
                 ]
                 yield batch_of(schema, whole)
-                rare, times = np.unique(pieces[~common] << 32 | words[~common], return_counts=True)
+                rare, times = np.unique(pieces[~common].astype(np.int64) << 32 | words[~common], return_counts=True)
                 if len(rare):
                     none, zero = [None] * len(rare), np.zeros(len(rare), np.int64)
                     hashes = chunk.hashes[rare & 0xFFFFFFFF].view(np.int64)
