@@ -1,66 +1,143 @@
-from pyspark.sql import functions as F
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
 
 from arcwise.llm.catalog import op3_language_backoff
-from arcwise.llm.language import Model, Scorer, fit, held_out, predict
+from arcwise.llm.language import fit, grams_of, predict, words_of
 from tests.llm.common import FOLDER, docs_of, needs_tables
 
 
+class Plain:
+    """The model over plain dictionaries of (text, lang) rows."""
+
+    def __init__(self, rows):
+        rows = [(text, lang) for text, lang in rows if text is not None and lang is not None]
+        self.languages = sorted({lang for _, lang in rows})
+        self.counts = [defaultdict(Counter) for _ in range(5)]  # words, then n-grams by length
+        for text, lang in rows:
+            for word in words_of(text):
+                self.counts[0][word][lang] += 1
+                for n in range(1, 5):
+                    for gram in grams_of(word, n):
+                        self.counts[n][gram][lang] += 1
+        self.totals = [Counter() for _ in range(5)]
+        for table, totals in zip(self.counts, self.totals, strict=True):
+            for own in table.values():
+                totals.update(own)
+
+    def vector(self, term, n):
+        price = (5 - n if n else 0) * math.log(0.4)
+        size = 0.5 * (len(self.counts[n]) + 1)
+        own = self.counts[n][term]
+        return np.array([math.log((own[lang] + 0.5) / (self.totals[n][lang] + 1 + size)) + price for lang in self.languages])
+
+    def predict(self, text):
+        words = words_of(text) if text else []
+        if not words or not self.languages:
+            return "und", 0.0
+        total = np.zeros(len(self.languages))
+        for word in words:
+            if word in self.counts[0]:
+                total += self.vector(word, 0)
+                continue
+            for n in (4, 3, 2, 1):
+                known = [gram for gram in grams_of(word, n) if gram in self.counts[n]]
+                if known:
+                    total += sum(self.vector(gram, n) for gram in known) / len(known)
+                    break
+        best = int(np.round(total, 9).argmax())
+        return self.languages[best], float(1 / np.exp(total - total[best]).sum())
+
+
+def compare(docs, train, **sent):
+    rows = docs.collect()
+    plain = Plain([(row.text, row.lang) for row in train.collect()])
+    got = defaultdict(list)
+    for row in predict(docs, fit(train), **sent).collect():
+        got[row.doc_id].append((row.lang_pred, row.score))
+    assert sum(map(len, got.values())) == len(rows)
+    wanted = defaultdict(list)
+    for row in rows:
+        wanted[row.doc_id].append(plain.predict(row.text))
+    for key, own in wanted.items():
+        for (lang, score), (other, near) in zip(sorted(own), sorted(got[key]), strict=True):
+            assert lang == other and abs(score - near) < 1e-6, (key, lang, score, other, near)
+
+
+def is_held_out(key):
+    return key is not None and zlib.crc32(str(key).encode()) % 4 == 2
+
+
 @needs_tables
-def test_held_out_accuracy_and_columns(spark):
+def test_whole_table_against_plain_dictionaries(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     result = op3_language_backoff(spark, FOLDER)
     assert result.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]
-    both = result.join(docs.select("doc_id", "lang"), "doc_id").collect()
-    assert len(both) == docs.count()
-    assert all(row.held_out == (__import__("zlib").crc32(str(row.doc_id).encode()) % 4 == 2) for row in both)
-    held = [row for row in both if row.held_out]
-    assert sum(row.lang == row.lang_pred for row in held) >= 0.95 * len(held)
-    assert all(0 <= row.score <= 1 for row in both)
-
-
-def test_backs_off_from_words_to_shorter_grams(spark, tmp_path):
-    rows = [(k, "the cat sat there", "en") for k in range(4)] + [(k + 9, "der hund lief dort", "de") for k in range(4)]
-    docs = docs_of(spark, tmp_path, [(a, b, c, None, None) for a, b, c in rows] + [(50, "xyz", None, None, None)])
-    model = fit(docs)
-    assert model.languages == ["de", "en"] and "cat" in model.rows and "xyz" not in model.rows
-    assert Scorer(model).predict("the cat")[0] == "en"
-    assert Scorer(model).predict("hunde")[0] == "de"  # unseen word, known grams
-    assert Scorer(model).predict("zzzz")[0] in ("de", "en")
-    for text in (None, "", " 12 +!"):
-        assert Scorer(model).predict(text) == ("und", 0.0)
+    rows, got = docs.collect(), {row.doc_id: row for row in result.collect()}
+    plain = Plain([(row.text, row.lang) for row in rows if not is_held_out(row.doc_id)])
+    assert len(got) == len(rows)
+    for row in rows:
+        lang, score = plain.predict(row.text)
+        own = got[row.doc_id]
+        assert own.held_out == is_held_out(row.doc_id)
+        assert own.lang_pred == lang and abs(own.score - score) < 1e-6
+    held = [row for row in rows if is_held_out(row.doc_id) and row.lang is not None and words_of(row.text or "")]
+    assert sum(row.lang == got[row.doc_id].lang_pred for row in held) >= 0.95 * len(held)
+
+
+@needs_tables
+def test_few_terms_sent_give_the_same(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("doc_id < 40")
+    train = docs.filter("doc_id % 2 = 0")
+    for sent in ({"words_sent": 0}, {"words_sent": 50, "grams_sent": 100}, {"words_sent": 0, "grams_sent": 0}):
+        compare(docs, train, **sent)
+
+
+def test_counts_are_whole(spark, tmp_path):
+    rows = [(k, "once the cat sat", "en") for k in range(4)] + [(9, "der hund", "de"), (10, "the", "de"), (11, "rare", "en")]
+    model = fit(docs_of(spark, tmp_path, rows))
+    plain = Plain([row[1:] for row in rows])
+    assert model.languages == ["de", "en"]
+    for n, table in ((0, model.words), (1, model.grams)):
+        got = {(row.term, model.languages[row.lang]): row.n for row in table.collect()}
+        tables = plain.counts[:1] if n == 0 else plain.counts[1:]
+        assert got == {(term, lang): k for own in tables for term, by in own.items() for lang, k in by.items()}
+        assert table.filter("lead").count() == sum(map(len, tables)) == table.select("term").distinct().count()
+
+
+def test_only_letters_are_words():
+    assert words_of("½ ² Ⅳ 12 _ +") == []
+    assert words_of("Ab1c हिन्दी x½y É") == ["ab", "c", "हिन्दी", "x", "y", "é"]
 
 
 def test_edges(spark, tmp_path):
-    docs = docs_of(spark, tmp_path, [(1, None, "en", None, None), (None, "a b", "en", None, None), (3, "wort " * 50_000, "de", None, None), (3, "x", None, None, None)])
-    rows = predict(docs, fit(docs)).collect()
-    assert len(rows) == 4 and docs.filter(held_out(F.col("doc_id"))).count() <= 3
+    schema = "doc_id LONG, text STRING, lang STRING, row LONG, id STRING, sums STRING, rare STRING, term STRING, n INT"
+    extra = (7, "x", "y", "z", "t", 1)
+    rows = [(1, None, "en"), (None, "a b", "en"), (3, "wort " * 50_000 + "½", "de"), (3, "x", None), (3, "x", None), (4, "½ ²", "en"), (5, "", None), (6, "qqq", None)]
+    docs = docs_of(spark, tmp_path, [row + extra for row in rows], schema)
+    compare(docs, docs)
+    compare(docs, docs, words_sent=0, grams_sent=1)
+    got = {row.doc_id: row for row in predict(docs, fit(docs)).collect()}
+    assert [(got[key].lang_pred, got[key].score) for key in (1, 4, 5)] == [("und", 0.0)] * 3
     empty = docs_of(spark, tmp_path, [])
     assert predict(empty, fit(empty)).count() == 0
-    assert Scorer(Model([], {}, {n: {} for n in range(1, 5)}, {n: {} for n in range(5)})).predict("abc") == ("und", 0.0)
+    one = docs_of(spark, tmp_path, [(1, "a", None)])
+    assert predict(one, fit(one)).collect() == [(1, "und", 0.0)]
+
+
+def test_ties_go_to_the_first_language(spark, tmp_path):
+    docs = docs_of(spark, tmp_path, [(1, "same words", "bb"), (2, "same words", "aa"), (3, "words same", None), (4, "ββ", None)])
+    got = {row.doc_id: (row.lang_pred, row.score) for row in predict(docs, fit(docs)).collect()}
+    assert got[3] == got[4] == ("aa", 0.5)
 
 
 def test_rare_language_beside_a_dominant_one(spark, tmp_path):
-    # More words of the large language than a table of fixed size would hold, and a close small one.
     large = [(k, " ".join(f"{a}{b}{c}" for c in "abcdefghijklmnopqrst" for b in ("ka", "ko", "ki") for a in own) + " ", "aa") for k, own in
              enumerate(["".join(chr(97 + (k // 26**i) % 26) for i in range(3)) for k in range(at, at + 20)] for at in range(0, 1200, 20))]
-    large = [(k, text * 4, lang) for k, text, lang in large]
     small = [(900 + k, "abakax cadakox", "bb") for k in range(3)]
     docs = docs_of(spark, tmp_path, [(a, b, c, None, None) for a, b, c in large + small])
-    model = fit(docs)
     wanted = {k: lang for k, _, lang in large + small}
-    one = {row.doc_id: (row.lang_pred, round(row.score, 9)) for row in predict(docs, model).collect()}
-    assert {k: lang for k, (lang, _) in one.items()} == wanted
-    assert model.word_table.count() > 60_000 and model.word_table.filter("word IN ('abakax', 'cadakox')").count() == 2
-    blocks = predict(docs, model, block_words=30_000).collect()
-    assert {row.doc_id: (row.lang_pred, round(row.score, 9)) for row in blocks} == one
-
-
-def test_stored_and_whole_model_agree(spark, tmp_path):
-    rows = [(k, "the cat sat there", "en") for k in range(4)] + [(k + 9, "der hund lief dort", "de") for k in range(4)]
-    rows += [(30, "hunde", None), (31, "the zzz hound", None), (32, "qqq", None), (33, "1 +", None), (34, None, None)]
-    docs = docs_of(spark, tmp_path, [(a, b, c, None, None) for a, b, c in rows])
-    model = fit(docs)
-    scorer, texts = Scorer(model), {a: b for a, b, _ in rows}
-    for row in predict(docs, model).collect():
-        lang, score = scorer.predict(texts[row.doc_id])
-        assert row.lang_pred == lang and abs(row.score - score) < 1e-9
+    for sent in ({}, {"words_sent": 1000}):
+        assert {row.doc_id: row.lang_pred for row in predict(docs, fit(docs), **sent).collect()} == wanted
