@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcwise.llm.frames import stored, with_keys
+from arcwise.llm.frames import numbered, stored, with_keys
 
 BUCKET_KEYS = 50_000
 LEAST_BUCKETS = 128
@@ -143,15 +143,15 @@ def exact_groups(
     text is empty. Of equal texts the one with the most code points stays, then the smallest id; of
     repeated rows with one id exactly one stays; a null id comes last. ``in_snapshot`` tells, from
     columns of ``docs``, which rows make the snapshot (null: incoming); the groups do not depend on it.
-    ``row_id`` is ``monotonically_increasing_id()`` over ``docs``, which must be a stored table.
+    ``row_id`` is the number of ``frames.numbered`` over ``docs``, which must be a stored Parquet table.
     An empty table gives an empty one; other columns are not read.
     """
     texts = docs.select(
         F.col(id_column).alias("id"),
-        F.monotonically_increasing_id().alias("row_id"),
         F.coalesce(in_snapshot, F.lit(False)).alias("old"),
         F.coalesce(F.col(text_column), F.lit("")).alias("text"),
     )
+    texts = numbered(texts, "row_id")
     bare = texts.withColumn("bare", normalised(F.col("text")))
     digested = bare.withColumn("digest", F.unhex(F.sha2("bare", 256)))
     rows = stored(digested.select("id", "row_id", "old", F.length("text").alias("points"), "digest"), "digests")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -47,6 +48,38 @@ def batch_of(schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=fields)
 
 
+FILE_ROWS = 1 << 36  # room for the rows of one file
+
+
+def free_name(frame: DataFrame, name: str) -> str:
+    """``name``, made longer until no column is called so."""
+    taken = {column.lower() for column in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(frame: DataFrame, name: str) -> DataFrame:
+    """The rows of a Parquet table with a long ``name``, the same on every scan, whatever the splits and cores.
+
+    A row's number is its file's place among the table's sorted paths and its own place in the file. Anything
+    but a table (or a selection) of Parquet files is stored first, and is then numbered for this call only.
+    """
+    try:
+        meta = frame.metadataColumn("_metadata")
+        files = frame.select(meta["file_path"].alias("file"), meta["row_index"].alias("at"))
+    except AnalysisException:
+        return numbered(stored(frame, "numbered"), name)
+    paths = sorted(row[0] for row in files.select("file").distinct().collect())  # files, not rows
+    if len(paths) < 2:
+        return frame.withColumn(name, meta["row_index"])
+    path, base, at = (free_name(frame, key) for key in ("_path", "_base", "_at"))
+    bases = frame.sparkSession.createDataFrame([(own, k * FILE_ROWS) for k, own in enumerate(paths)], f"{path} STRING, {base} LONG")
+    side = F.broadcast(bases) if len(paths) <= BROADCAST_KEYS else bases.hint("merge")
+    placed = frame.withColumns({path: meta["file_path"], at: meta["row_index"]}).join(side, path)
+    return placed.withColumn(name, F.col(base) + F.col(at)).drop(path, base, at)
+
+
 def with_keys(frame: DataFrame, keys: DataFrame, column: str, keep: bool, limit: int = BROADCAST_KEYS) -> DataFrame:
     """Rows of ``frame`` whose ``column`` is among ``keys`` (or, with keep=False, is not).
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arcwise.llm.frames import batch_of, map_batches
+from arcwise.llm.frames import batch_of, map_batches, numbered
 
 BINS = 1 << 20
 GRADED_TEXTS = 512
@@ -178,7 +178,7 @@ def graded(docs: DataFrame, grader: Grader, id_column: str = "doc_id", text_colu
     """One row per row of ``docs``: the id, row_id, expected_grade and ``tails``, P(grade > k) for each k.
 
     A null text is an empty one. Repeated rows are graded each, other columns not read; ``row_id`` is
-    ``monotonically_increasing_id()`` over ``docs``. An empty table gives an empty one.
+    the number of ``frames.numbered`` over ``docs``. An empty table gives an empty one.
     """
     schema = T.StructType(
         [
@@ -196,8 +196,8 @@ def graded(docs: DataFrame, grader: Grader, id_column: str = "doc_id", text_colu
                 tails = shared.value.tails(batch.column(2).to_pylist())
                 yield batch_of(schema, [batch.column(0), batch.column(1), tails.sum(axis=1), tails.tolist()])
 
-    rows = docs.select(id_column, F.monotonically_increasing_id().alias("row_id"), text_column)
-    return map_batches(rows, work, schema)
+    rows = numbered(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), "row_id")
+    return map_batches(rows.select("id", "row_id", "text"), work, schema)
 
 
 def label_grade() -> Column:

@@ -20,7 +20,7 @@ GROUP_ROWS = 8192
 ROUNDS = 4
 ROUND_IDS = 1 << 58
 GROUP_IDS = 1 << 24
-WORK = ("sequence_id", "offset", "_row", "_given")
+WORK = ("sequence_id", "offset", "row", "given")
 
 
 def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -79,7 +79,7 @@ def _packer(schema: T.StructType, size: int, turn: int):
 
     def work(table: pa.Table) -> pa.Table:
         lengths = table.column("length").to_numpy()
-        group = table.column("_group")[0].as_py()
+        group = table.column("group")[0].as_py()
         bins, offsets, count = best_fit_decreasing(lengths, size)
         fill = np.bincount(bins, lengths, minlength=count).astype(np.int64)
         gap = count - lower_bound(np.bincount(lengths, minlength=size + 1), size)
@@ -89,7 +89,7 @@ def _packer(schema: T.StructType, size: int, turn: int):
             given[:] = False
             given[emptiest] = True
         ids = turn * ROUND_IDS + group * GROUP_IDS + bins
-        added = [ids, offsets, table.column("_row"), given[bins]]
+        added = [ids, offsets, table.column("row"), given[bins]]
         return pa.table([table.column(name) for name in names] + added, names=names + list(WORK))
 
     return work
@@ -102,16 +102,20 @@ def pack(pieces: DataFrame, size: int = 1024, group_rows: int = GROUP_ROWS, roun
     columns stay; ``sequence_id`` and ``offset`` of an earlier packing are replaced. Rows are packed
     one by one, repeated ones too. An empty table gives an empty one. Places in a sequence have no gaps.
     """
-    kept = [name for name in pieces.columns if name not in WORK]
+    given_names = [name for name in pieces.columns if name not in ("sequence_id", "offset")]
+    # Within, a column goes by its place, so that none meets a name of the packing's own.
+    inner = {name: "length" if name == "length" else f"c{k}" for k, name in enumerate(given_names)}
+    kept = list(inner.values())
     wrong = F.raise_error(F.lit(f"a piece is not of length 1 to {size}"))
     checked = F.when(F.col("length").between(1, size), F.col("length").cast("long")).otherwise(wrong)
-    pool = pieces.select(*kept).withColumn("length", checked).withColumn("_row", F.monotonically_increasing_id())
+    own = [(checked if name == "length" else pieces[f"`{name}`"]).alias(inner[name]) for name in given_names]
+    pool = pieces.select(*own, F.monotonically_increasing_id().alias("row"))
     pool = stored(pool, "pieces")
     fields = [pool.schema[name] for name in kept] + [
         T.StructField("sequence_id", T.LongType()),
         T.StructField("offset", T.LongType()),
-        T.StructField("_row", T.LongType()),
-        T.StructField("_given", T.BooleanType()),
+        T.StructField("row", T.LongType()),
+        T.StructField("given", T.BooleanType()),
     ]
     schema = T.StructType(fields)
     settled: list[DataFrame] = []
@@ -119,16 +123,16 @@ def pack(pieces: DataFrame, size: int = 1024, group_rows: int = GROUP_ROWS, roun
     for turn in range(rounds):
         rows = pool.count()
         groups = max(1, -(-rows // group_rows))
-        # The rows of a deal are numbered without gaps in value by their hash, so groups are even.
-        dealt = pool.withColumn("_group", F.pmod(F.xxhash64("_row", F.lit(turn)), F.lit(groups)))
-        packed = stored(dealt.groupBy("_group").applyInArrow(_packer(schema, size, turn), schema), "packed")
+        # Dealt by hash: the groups are random, of about ``group_rows`` rows.
+        dealt = pool.withColumn("group", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(groups)))
+        packed = stored(dealt.groupBy("group").applyInArrow(_packer(schema, size, turn), schema), "packed")
         bins = packed.select("sequence_id").distinct().count()
         if before is not None and bins >= before[1]:
             break
         if before is not None:
             before = None
-        given = packed.filter("_given")
-        settled.append(packed.filter("NOT _given"))
+        given = packed.filter("given")
+        settled.append(packed.filter("NOT given"))
         counts = np.zeros(size + 1, np.int64)
         for row in given.groupBy("length").count().collect():  # at most ``size`` rows
             counts[row["length"]] = row["count"]
@@ -136,13 +140,14 @@ def pack(pieces: DataFrame, size: int = 1024, group_rows: int = GROUP_ROWS, roun
         before = (given, open_bins)
         if open_bins <= lower_bound(counts, size):
             break
-        pool = given.drop("sequence_id", "offset", "_given")
+        pool = given.drop("sequence_id", "offset", "given")
     if before is not None:
         settled.append(before[0])
     result = settled[0]
     for part in settled[1:]:
         result = result.unionByName(part)
-    return result.select(*kept, "sequence_id", "offset")
+    back = [F.col(own).alias(name) for name, own in inner.items()]
+    return result.select(*back, "sequence_id", "offset")
 
 
 def packing_certificate(packed: DataFrame, size: int = 1024) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arcwise.llm.components import components
-from arcwise.llm.frames import batch_of, map_batches, stored
+from arcwise.llm.frames import batch_of, map_batches, numbered, stored
 
 HASH_SEED = 42
 RADIUS = 4
@@ -62,8 +62,8 @@ def fingerprints(docs: DataFrame, words: int = 4, id_column: str = "doc_id", tex
             found = [fingerprint(text or "", words) for text in batch.column(2).to_pylist()]
             yield batch_of(schema, [batch.column(0), batch.column(1), np.array(found, np.uint64).view(np.int64)])
 
-    rows = docs.select(id_column, F.monotonically_increasing_id().alias("row_id"), text_column)
-    return map_batches(rows, work, schema)
+    rows = numbered(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), "row_id")
+    return map_batches(rows.select("id", "row_id", "text"), work, schema)
 
 
 def _half_values() -> Column:
@@ -189,7 +189,7 @@ def near_duplicates(
     Fingerprints link at 4 or fewer differing bits; ``component_id`` is the smallest id reachable.
     A text without words, null ones too, has fingerprint zero and links like any other. Of each
     component the smallest id is ``kept``, of its repeated rows the first; null ids come last.
-    ``row_id`` is ``monotonically_increasing_id()`` over ``docs``, which must be a stored table. An
+    ``row_id`` is the number of ``frames.numbered`` over ``docs``, which must be a stored Parquet table. An
     empty table gives an empty one; other columns are not read.
     """
     rows = stored(fingerprints(docs, words, id_column, text_column), "fingerprints")
