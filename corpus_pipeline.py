@@ -1,7 +1,10 @@
 """From raw documents to packed sequences: quality, exact and near duplicates, leaks, packing.
 
 Every stage takes (spark, docs, sf_dir), where ``docs`` is a stored table, works on all of it, and
-returns the documents it keeps with their columns; the last one returns the packed pieces.
+returns the documents it keeps with their columns, extra ones of any name too; the last one returns the
+packed pieces. A null or empty text is a document like any other, repeated rows are judged each (of equal or
+near texts one row stays, ties to the smallest id), texts are taken whole, and an empty table gives an empty one.
+Rows are known by file and place, so a lost or added executor changes no decision.
 """
 
 from __future__ import annotations
@@ -10,15 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcwise.llm import catalog, decontaminate, exact, grading, packing, simhash, tokens
-from arcwise.llm.frames import stored, table, with_keys
+from arcwise.llm.frames import free_name, numbered, stored, table, with_keys
 
 ROW = "_row"
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of a stored table whose number is not in ``dropped`` (one column)."""
-    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
-    return with_keys(numbered, stored(dropped.toDF(ROW).distinct(), "dropped"), ROW, keep=False).select(*docs.columns)
+    """The rows of a stored table whose number is not in ``dropped`` (one column); any column stays as it was."""
+    row = free_name(docs, ROW)
+    keys = stored(dropped.toDF(row).distinct(), "dropped")
+    return with_keys(numbered(docs, row), keys, row, keep=False).select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +43,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    numbered = docs.withColumn(ROW, F.monotonically_increasing_id())
-    leaks = decontaminate.contaminations(numbered, table(spark, sf_dir, "benchmark"), id_column=ROW)
+    texts = numbered(docs.select("text"), ROW)
+    leaks = decontaminate.contaminations(texts, table(spark, sf_dir, "benchmark"), id_column=ROW)
     return _without(docs, leaks.select(ROW))
 
 
