@@ -36,6 +36,18 @@ def propose_motions(spark: SparkSession, motion_count: int, defaults: MotionDefa
     )
 
 
+def proposals_of(rows: DataFrame, number: str, joints: str) -> DataFrame:
+    """A proposal per ``number`` of a table: its motion is ``motion_<number>``, as long as its largest ``joints``.
+
+    Rows without a number propose nothing; a motion has at least one joint.
+    """
+    chains = rows.filter(F.col(number).isNotNull()).groupBy(number).agg(F.max(joints).alias("joint_count"))
+    return chains.select(
+        F.concat(F.lit("motion_"), number).alias("motion_id"),
+        F.greatest(F.coalesce("joint_count", F.lit(1)), F.lit(1)).cast("int").alias("joint_count"),
+    )
+
+
 def motion_roots(proposals: DataFrame, defaults: MotionDefaults = DEFAULTS) -> DataFrame:
     """Root orientation, heading and speed of each motion."""
     return proposals.select(

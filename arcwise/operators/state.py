@@ -78,8 +78,8 @@ class StateVariable:
 # The variables of a state and what they hold before anything is known.
 STATE_VARIABLES = (
     StateVariable("sample_moments", "array<double>", "array()"),
-    StateVariable("sample_positions", "array<double>", "array()"),
-    StateVariable("curvature_sample_indices", "array<bigint>", "array()"),
+    StateVariable("sample_positions", "array<struct<x:double,y:double>>", "array()"),
+    StateVariable("curvature_sample_indices", "array<array<bigint>>", "array()"),
     StateVariable("curvature_magnitudes", "array<double>", "array()"),
     StateVariable("lowest_curvature_magnitude", "double"),
     StateVariable("curvature_sign_change", "boolean", "false"),
@@ -113,8 +113,8 @@ def state_features(
     """One row per path: sample count, curvature count, lowest magnitude, sign change, zero crossing.
 
     Curvatures are those of points with both neighbours. The zero crossing is guessed on the straight
-    line between the two curvatures around the first change of sign. Where the samples themselves are
-    wanted as arrays, ``shapes.series_pages`` holds them in bounded rows; a state holds their counts.
+    line between the two curvatures around the first change of sign. The samples themselves are held in
+    the pages of ``samples.state_samples``, which new samples can be folded into.
     """
     series = with_neighbours(points, columns, max_rows)
     inner = F.col("prev_x").isNotNull() & F.col("next_x").isNotNull()

@@ -27,11 +27,11 @@ def _hours(ts: Column) -> Column:
     return (days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + second) / 3600
 
 
-def event_points(spark: SparkSession, folder: str) -> DataFrame:
-    """Each user's events as a path: hours to the right, value upwards."""
+def event_points(spark: SparkSession, folder: str, *more: str) -> DataFrame:
+    """Each user's events as a path: hours to the right, value upwards; with ``more`` columns of the table."""
     hours = _hours(F.col("ts"))
     return table(spark, folder, "events").select(
-        "user_id", "event_id", hours.alias("time"), hours.alias("x"), F.col("value").alias("y")
+        "user_id", "event_id", hours.alias("time"), hours.alias("x"), F.col("value").alias("y"), *more
     )
 
 

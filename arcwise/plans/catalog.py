@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcwise.functions.geometry import rounded
-from arcwise.operators import kinematics, motion, path, shapes, state, sweep, validate
+from arcwise.operators import kinematics, motion, path, samples, shapes, state, sweep, validate
 from arcwise.operators.series import split_series
 from arcwise.plans import bindings as b
 from arcwise.plans.bindings import COMPARE_DIGITS, EVENT_PATHS, RESOLUTION
-from arcwise.session import scratch_path
+from arcwise.session import scratch_path, stored
 from arcwise.sources.files import Source, load_sources, read_csv, read_json, write_csv, write_json
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,7 +59,8 @@ def json_round_trip(spark, folder):
 
 @query
 def motion_proposals(spark, folder):
-    return motion.propose_motions(spark, b.table(spark, folder, "customer").count())
+    """A motion per order, with a joint per line number."""
+    return motion.proposals_of(b.table(spark, folder, "lineitem"), "l_orderkey", "l_linenumber")
 
 
 @query
@@ -383,9 +384,21 @@ def frame_poses(spark, folder):
 
 @query
 def curvature_series(spark, folder):
-    series = path.feature_series(b.event_points(spark, folder), EVENT_PATHS, COMPARE_DIGITS)
-    pages = shapes.series_pages(series, ["time", "curvature", "peak_type"], page_points=32)
-    return _six(shapes.unnest_pages(pages))
+    """From tables of points, curvatures and peaks, as they are stored."""
+    points = b.event_points(spark, folder).select(
+        F.col("user_id").alias("animation_id"),
+        F.lit(1).alias("effector_index"),
+        F.col("event_id").alias("frame_id"),
+        "time",
+        F.col("x").alias("effector_position_x"),
+        F.col("y").alias("effector_position_y"),
+    )
+    series = split_series(points, path.EFFECTOR_PATHS.keys, path.EFFECTOR_PATHS.order)
+    curvatures = path.curvatures(series)
+    peaks = path.path_peaks(series, digits=COMPARE_DIGITS)
+    frames = points.select("animation_id", "frame_id", "time")
+    pages = shapes.curvature_series(frames, curvatures, peaks, page_points=32)
+    return _six(shapes.unnest_pages(pages.withColumnRenamed("animation_id", "user_id").drop("effector_index")))
 
 
 @query
@@ -462,12 +475,43 @@ def state_features(spark, folder):
     return _six(_states(spark, folder))
 
 
+PAGE_SAMPLES = 32
+
+
+def _folded_pages(spark, folder):
+    """The samples of all events: purchases come late and are folded into the state of the others."""
+    points = b.event_points(spark, folder, "event_type")
+    late = F.coalesce(F.col("event_type") == "purchase", F.lit(False))
+    early = samples.state_samples(points.filter(~late), EVENT_PATHS, PAGE_SAMPLES)
+    return samples.fold_samples(stored(early, "samples"), points.filter(late), EVENT_PATHS, PAGE_SAMPLES)
+
+
+@query
+def state_samples(spark, folder):
+    pages = samples.state_samples(b.event_points(spark, folder), EVENT_PATHS, PAGE_SAMPLES)
+    return _six(samples.unnest_samples(pages, EVENT_PATHS))
+
+
+@query
+def state_samples_folded(spark, folder):
+    return _six(samples.unnest_samples(_folded_pages(spark, folder), EVENT_PATHS))
+
+
+@query
+def state_features_folded(spark, folder):
+    return _six(samples.sample_features(_folded_pages(spark, folder), EVENT_PATHS, COMPARE_DIGITS))
+
+
 @query
 def state_defaults(spark, folder):
-    filled = state.with_defaults(_states(spark, folder))
+    """The whole state by pages of samples; what is not known yet has its default."""
+    pages = samples.state_samples(b.event_points(spark, folder), EVENT_PATHS, PAGE_SAMPLES)
+    features = samples.sample_features(pages, EVENT_PATHS, COMPARE_DIGITS)
+    filled = state.with_defaults(samples.state_pages(pages, features, EVENT_PATHS))
     arrays = [v.name for v in state.STATE_VARIABLES if v.kind.startswith("array")]
-    counts = [F.size(name).alias(name) for name in arrays]
-    return _six(filled.select(*[name for name in filled.columns if name not in arrays], *counts))
+    kept = ["user_id", "page", *[name for name in features.columns if name != "user_id"]]
+    kept += [v.name for v in state.STATE_VARIABLES if v.name not in (*arrays, *kept)]
+    return _six(filled.select(*kept, *[F.size(name).alias(name) for name in arrays]))
 
 
 def _judged_states(spark, folder):

@@ -53,8 +53,8 @@ FRAMES = _frames(20)
 GRID = _with(PROPOSALS, MOTIONS, JOINTS, ANIMATIONS, FRAMES)
 
 ORACLES["motion_proposals"] = """
-SELECT 'motion_' || i AS motion_id, CAST(4 AS INTEGER) AS joint_count
-FROM (SELECT unnest(range((SELECT count(*) FROM customer))) AS i)"""
+SELECT 'motion_' || l_orderkey AS motion_id, CAST(greatest(max(l_linenumber), 1) AS INTEGER) AS joint_count
+FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY l_orderkey"""
 
 ORACLES["motion_roots"] = GRID + (
     "SELECT motion_id, root_orientation, root_velocity_orientation, root_velocity_magnitude FROM motions"
@@ -489,12 +489,23 @@ STATE_COLUMNS = (
 STATE_SQL = _with(POINTS, NEIGHBOURS, CURVED, DIRECTED, PEAKED, STATES)
 
 ORACLES["state_features"] = STATE_SQL + f"SELECT {STATE_COLUMNS} FROM states"
+ORACLES["state_features_folded"] = ORACLES["state_features"]
+for _name in ("state_samples", "state_samples_folded"):
+    ORACLES[_name] = STATE_SQL + f"""
+SELECT user_id, CAST(position // 32 AS INTEGER) AS page, position AS sample_index, event_id AS sample_id,
+       {r6('time', 'moment')}, {r6('x')}, {r6('y')},
+       CASE WHEN px IS NOT NULL AND nx IS NOT NULL THEN position - 1 END AS from_sample,
+       CASE WHEN px IS NOT NULL AND nx IS NOT NULL THEN position + 1 END AS to_sample,
+       {r6('CASE WHEN px IS NOT NULL AND nx IS NOT NULL THEN abs(k) END', 'curvature_magnitude')} FROM labelled"""
 ORACLES["state_defaults"] = STATE_SQL + f"""
 SELECT {STATE_COLUMNS}, CAST(NULL AS BOOLEAN) AS verified_guessed_zero_crossing,
-       CAST(NULL AS DOUBLE) AS true_zero_crossing, CAST(NULL AS VARCHAR) AS action_taken,
-       CAST(0 AS INTEGER) AS sample_moments, CAST(0 AS INTEGER) AS sample_positions,
-       CAST(0 AS INTEGER) AS curvature_sample_indices, CAST(0 AS INTEGER) AS curvature_magnitudes
-FROM states"""
+       CAST(NULL AS DOUBLE) AS true_zero_crossing, CAST(NULL AS VARCHAR) AS action_taken, page,
+       sample_moments, sample_moments AS sample_positions, curvature_sample_indices,
+       curvature_sample_indices AS curvature_magnitudes
+FROM states JOIN (
+  SELECT user_id, CAST(position // 32 AS INTEGER) AS page, CAST(count(*) AS INTEGER) AS sample_moments,
+         CAST(count(CASE WHEN px IS NOT NULL AND nx IS NOT NULL THEN 1 END) AS INTEGER) AS curvature_sample_indices
+  FROM labelled GROUP BY ALL) USING (user_id)"""
 
 JUDGED = """judged AS (
   SELECT *, CASE user_id % 3 WHEN 1 THEN true WHEN 2 THEN false END AS verified,
