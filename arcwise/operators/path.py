@@ -323,3 +323,47 @@ def path_tables(
             "knots": _number_knots(shared, columns).select(*key, "knot_index"),
         },
     )
+
+
+# The five outputs and the columns each has beside the key of a point.
+OUTPUTS = {
+    "curvatures": ("curvature",),
+    "peaks": ("peak_type",),
+    "tangents": ("tangent",),
+    "bisectors": ("bisector_x", "bisector_y"),
+    "knots": ("knot_index",),
+}
+
+
+def path_outputs(
+    points: DataFrame | Series,
+    columns: PathColumns = EFFECTOR_PATHS,
+    digits: int | None = None,
+    max_rows: int | None = MAX_ROWS,
+) -> DataFrame:
+    """The five outputs stacked, for ``outputs.write_outputs``: a point's key, ``output`` and the output's columns.
+
+    Knots are the points of one stretch of time, so their numbers follow from their places on the path; nothing
+    is filtered and numbered again, and all outputs come out of one pass.
+    """
+    series = bound(feature_series(points, columns, digits, max_rows), columns).numbered("position")
+    series = series.totals({"first_knot": F.min(F.when(_inside(columns), F.col("position")))})
+    values = {
+        "curvature": F.col("curvature"),
+        "peak_type": F.col("peak_type"),
+        "tangent": F.col("tangent"),
+        "bisector_x": F.col("bisector_x"),
+        "bisector_y": F.col("bisector_y"),
+        "knot_index": (F.col("position") - F.col("first_knot")).cast("int"),
+    }
+    rows = series.table().select(*columns.keys, columns.tie, _inside(columns).alias("is_knot"), *[v.alias(n) for n, v in values.items()])
+    kinds = {field.name: field.dataType for field in rows.schema}
+
+    def output(name: str) -> Column:
+        own = [F.col(n) if n in OUTPUTS[name] else F.lit(None).cast(kinds[n]) for n in values]
+        return F.struct(F.lit(name).alias("output"), *[value.alias(n) for n, value in zip(values, own)])
+
+    wanted = {"peaks": F.col("peak_type").isNotNull(), "knots": F.col("is_knot")}
+    every = F.array(*[F.when(wanted[name], output(name)) if name in wanted else output(name) for name in OUTPUTS])
+    stacked = rows.select(*columns.keys, columns.tie, F.explode(F.filter(every, lambda one: one.isNotNull())).alias("one"))
+    return stacked.select(*columns.keys, columns.tie, "one.*")

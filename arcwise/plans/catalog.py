@@ -14,6 +14,7 @@ from arcwise.plans import bindings as b
 from arcwise.plans.bindings import COMPARE_DIGITS, EVENT_PATHS, RESOLUTION
 from arcwise.session import scratch_path, stored
 from arcwise.sources.files import Source, load_sources, read_csv, read_json, write_csv, write_json
+from arcwise.sources.outputs import read_output, write_outputs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -322,8 +323,19 @@ def feature_table(spark, folder):
 @query
 def path_tables(spark, folder):
     """The five outputs of one shared table, stacked: a point's key and the output's values."""
-    tables = path.path_tables(b.event_points(spark, folder), EVENT_PATHS, COMPARE_DIGITS)
+    return _stacked(path.path_tables(b.event_points(spark, folder), EVENT_PATHS, COMPARE_DIGITS))
 
+
+@query
+def path_outputs_stored(spark, folder):
+    """The same, written by one job and read back from its outputs."""
+    target = scratch_path(spark, "path-outputs")
+    write_outputs(path.path_outputs(b.event_points(spark, folder), EVENT_PATHS, COMPARE_DIGITS), target)
+    key = ["user_id", "event_id"]
+    return _stacked({name: read_output(spark, target, name, [*key, *own]) for name, own in path.OUTPUTS.items()})
+
+
+def _stacked(tables: dict[str, DataFrame]) -> DataFrame:
     def stacked(name: str, first: str | None = None, second: str | None = None, label: str | None = None) -> DataFrame:
         def value(column: str | None, kind: str):
             return F.lit(None).cast(kind) if column is None else F.col(column).cast(kind)

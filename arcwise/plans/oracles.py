@@ -333,6 +333,8 @@ SELECT 'bisectors', user_id, event_id, {r6('bisector_x')}, {r6('bisector_y')}, N
 UNION ALL
 SELECT 'knots', user_id, event_id, CAST(knot_index AS DOUBLE), NULL, NULL FROM knots"""
 
+ORACLES["path_outputs_stored"] = ORACLES["path_tables"]
+
 # -- refinement ---------------------------------------------------------------------------------
 
 REFINED = """sampled AS (

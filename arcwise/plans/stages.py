@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from arcwise import schemas
 from arcwise.operators import kinematics, motion, path, shapes, sweep, validate
 from arcwise.sources.files import read_csv, write_csv, write_json
+from arcwise.sources.outputs import read_output, write_outputs
 
 TABLES = {
     "motion_proposals": schemas.MOTION_PROPOSALS,
@@ -26,6 +27,14 @@ TABLES = {
     "refined_frames": schemas.REFINED_FRAMES,
 }
 
+PATH_TABLES = {
+    "curvatures": "path_curvatures",
+    "peaks": "path_curvature_peaks",
+    "tangents": "path_tangents",
+    "bisectors": "path_bisectors",
+    "knots": "spline_knots",
+}
+
 
 class Store:
     """One folder of tables, by name."""
@@ -82,22 +91,12 @@ def animate(store: Store) -> None:
 
 
 def analyse_paths(store: Store) -> None:
+    """All five tables come from one job, in Parquet; the CSV tables are copies of its outputs."""
     points = path.path_points(store.read("animation_effectors"), store.read("animation_frames"))
-    tables = path.path_tables(points)
-    try:
-        for name, rows in tables.items():
-            store.write(
-                {
-                    "curvatures": "path_curvatures",
-                    "peaks": "path_curvature_peaks",
-                    "tangents": "path_tangents",
-                    "bisectors": "path_bisectors",
-                    "knots": "spline_knots",
-                }[name],
-                rows,
-            )
-    finally:
-        tables.release()
+    folder = store.path("path_outputs")
+    write_outputs(path.path_outputs(points), folder)
+    for output, name in PATH_TABLES.items():
+        store.write(name, read_output(store.spark, folder, output, TABLES[name].names))
 
 
 def picture_tables(store: Store) -> dict[str, DataFrame]:
