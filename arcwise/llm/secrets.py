@@ -1,18 +1,14 @@
 """Secret scans: plain patterns, and an assignment-aware lexer for source and configuration text.
 
-The lexer reads name-literal pairs (``name = "literal"``, ``name: literal``, ``"name": "literal"``,
-``name => literal``, ``name: type = "literal"``), follows names that are assigned to other names (``name``,
-``$NAME``, ``${NAME}``), also to such that are defined only further on, and scores the literals that reach
-a sensitive target name.
+The lexer (``lexer``) reads name-literal pairs, follows names that stand for other names or for joined
+strings, and scores the literals that reach a sensitive target name.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
-from bisect import bisect_left, bisect_right
-from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from arcwise.llm.frames import batch_of, map_batches
+from arcwise.llm.lexer import lexed_spans
 
 KINDS = ("assign", "access", "hex", "lexed")
 # Base patterns; the letters of the assignment pattern match in either case.
@@ -30,108 +27,6 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
-# A run of name characters or blanks is read once, so names, blanks and literals may be of any length.
-TYPE_DEPTH = 6  # brackets within brackets of a type
-
-
-def _brackets(left: str, right: str) -> str:
-    plain, within = rf"[^{left}{right}\n=:\"']*+", ""
-    for _ in range(TYPE_DEPTH):
-        within = rf"{left}{plain}{f'(?:{within}{plain})*+' if within else ''}{right}"
-    return within
-
-
-BRACKETS = _brackets(r"\[", r"\]") + "|" + _brackets("<", ">")
-TYPE = rf"(?:&'\w++[ \t]++|[&*?])?+[A-Za-z_][\w.]*+(?:::\w++)*+(?:{BRACKETS}|[?*&])*+"
-PAIR = re.compile(
-    r"""(?<![\w.-])[\d.-]*+([A-Za-z_][\w.-]*+)["'\]]{0,2}[ \t]*+"""
-    rf"""(?::[ \t]*+(?P<type>{TYPE}(?:[ \t]*+\|[ \t]*+{TYPE})*+)[ \t]*+(?==(?![=>])))?+(?::=|=>|=|:)[ \t]*+"""
-    r"""(?:"(?P<double>(?:[^"\\\n]|\\.)++)"|'(?P<single>(?:[^'\\\n]|\\.)++)'"""
-    r"""|(?P<bare>\$\{[A-Za-z_]\w*+\}|[A-Za-z0-9+/_.=$@!%-]++))"""
-)
-REFERENCE = re.compile(r"\$\{([A-Za-z_]\w*)\}|\$([A-Za-z_]\w*)")
-NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
-PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
-# Fixed word lists: parts of sensitive target names with their weight, and values that are no secret.
-SENSITIVE = {
-    "password": 3, "passwd": 3, "pwd": 3, "pass": 2, "passphrase": 3, "secret": 3, "secrets": 3, "token": 2,
-    "apikey": 3, "credential": 3, "credentials": 3, "private": 1, "auth": 1, "key": 1, "api": 1, "access": 1,
-    "client": 1, "signing": 1, "encryption": 1, "bearer": 2, "salt": 1, "jwt": 2, "dsn": 1,
-}
-PLACEHOLDERS = {
-    "password", "passwd", "secret", "token", "changeme", "change_me", "example", "none", "null", "true", "false",
-    "undefined", "string", "your_password", "your_token", "your_secret", "xxxxxx", "redacted",
-}
-LEAST_LITERAL = 6
-LEAST_SCORE = 4.0
-
-
-def name_weight(name: str) -> int:
-    parts = [part.lower() for part in PARTS.findall(name.rpartition(".")[2])]
-    return sum(SENSITIVE.get(part, 0) for part in dict.fromkeys(parts))
-
-
-def literal_score(value: str) -> float:
-    """0 to 3: how much a literal looks like a key: its entropy per character, mixed classes, no spaces."""
-    low = value.lower()
-    if len(value) < LEAST_LITERAL or low in PLACEHOLDERS or " " in value or value.startswith(("$", "<", "%", "{")):
-        return 0.0
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    classes = sum(bool(re.search(kind, value)) for kind in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, entropy / 3) + (1.0 if classes >= 2 else 0.0) + (1.0 if re.search("[0-9]", value) else 0.0)
-
-
-def lexed_spans(text: str) -> list[tuple[int, int]]:
-    """Spans of the literals that reach a sensitive name, directly or through other names."""
-    pairs: list[tuple[str, str, int, int, bool, str | None]] = []
-    places: dict[str, list[int]] = {}
-    targets: list[tuple[str, int]] = []
-    for found in PAIR.finditer(text):
-        name, group = found.group(1), found.lastgroup
-        value, quoted = found.group(group), group != "bare"
-        named = REFERENCE.fullmatch(value)
-        other = named.group(1) or named.group(2) if named else value if not quoted and NAME.match(value) else None
-        if name_weight(name) >= 2:
-            targets.append((name, len(pairs)))
-        kind = found.group("type")
-        if kind and NAME.match(kind) and name_weight(kind) >= 2:
-            targets.append((kind, len(pairs)))  # "section: name = literal"
-        places.setdefault(name, []).append(len(pairs))
-        pairs.append((name, value, *found.span(group), quoted, other))
-    origins: dict[int, int | None] = {}
-
-    def origin(number: int) -> int | None:
-        """The pair whose literal a pair stands for; none for names that only stand for each other."""
-        path = []
-        while number not in origins:
-            origins[number] = None  # met again before it is known: a circle
-            path.append(number)
-            own = places.get(pairs[number][5], [])
-            at = bisect_left(own, number)
-            # The name's last definition before this place, else the first one after it.
-            later = at + (at < len(own) and own[at] == number)
-            if at:
-                number = own[at - 1]
-            elif later < len(own):
-                number = own[later]
-            else:
-                origins[number] = number
-        for one in path:
-            origins[one] = origins[number]
-        return origins[number]
-
-    reached = []
-    for name, number in targets:
-        first = origin(number)
-        if first is not None:
-            reached.append((name, *pairs[first][1:4], pairs[first][4] or first != number))
-    spans = set()
-    for name, value, start, end, certain in reached:
-        plain = not certain and not re.search("[0-9]", value)
-        if not plain and min(3, name_weight(name)) + literal_score(value) >= LEAST_SCORE and literal_score(value) > 0:
-            spans.add((start, end))
-    return sorted(spans)
-
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     spans = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m.group(2)) >= LEAST_ASSIGN]
@@ -150,7 +45,8 @@ def secret_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     Spans are in code points, the end exclusive. ``assign``, ``access`` and ``hex`` are the matches of
     the base patterns, ``lexed`` the literals found by the lexer that no base span of the kind
     ``assign`` already covers. A null or empty text has none; repeated rows are scanned each, other
-    columns not read. An empty table gives an empty one.
+    columns not read. Spans that start alike are ordered by kind, then by end. Texts of any length are read
+    once, whole. An empty table gives an empty one.
     """
     span = T.StructType(
         [
