@@ -1,14 +1,12 @@
 """Benchmark decontamination: CGK walks turn edit distance into Hamming distance, bit-sampling finds pairs.
 
 A CGK walk reads a word sequence step by step; a random bit of (step, word) tells whether it moves on.
-Two sequences of small edit distance give outputs that mostly agree place by place. Each table samples
-a few places of a walk over every item-sized window; equal samples are candidates, and each candidate
-is verified by exact edit distance. Only windows near a run of words that an item within the distance
-must share are walked: with e edits in n words, n div (e + 1) successive words stay untouched.
-
-The tables miss more the more edits there are, so they do not decide alone. An edit touches at most q of
-the n - q + 1 runs of q words, and the others shift by at most e places; wherever n - q + 1 - q e runs of
-an item lie that close together is a candidate as well, which leaves out nothing within the distance.
+Two sequences of small edit distance give outputs that mostly agree place by place. Items are cut into
+segments of 15 to 29 words (shorter ones are one segment), as walks drift apart over many edits; if an item
+is within its distance, one of its segments is within its share of it. Each table samples a few places
+of a walk over every segment-sized window; equal samples are candidates, and the whole item around each
+candidate is verified by exact edit distance. Only windows near a run of words that a segment within its
+distance must share are walked: with e edits in n words, n div (e + 1) successive words stay untouched.
 """
 
 from __future__ import annotations
@@ -22,17 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arcwise.llm.frames import batch_of, map_batches, stored
+from arcwise.llm.frames import batch_of, free_name, map_batches, stored
 from arcwise.llm.words import WORD, words_of
 
 EDIT_SHARE = 5  # one edit per so many words is allowed
+SEGMENT_WORDS = 15  # at least so many words to a segment of a longer item
 WALKS, TABLES, PLACES = 4, 10, 4
 BLOCK_WORDS = 400_000  # words of benchmark items that are searched for in one pass
 CLASS_STEP = 1.35
 GRAM_BITS, KEY_BITS = 22, 18
 SLICE_STARTS = 200_000
 SEARCHED_TEXTS = 256
-SLICE_RUNS = 4_000_000  # pairs of a run in a text and one in an item that are counted at a time
 MIX = 0x9E3779B97F4A7C15
 
 
@@ -45,6 +43,12 @@ def edits_of(n: int) -> int:
     return n // EDIT_SHARE
 
 
+def segments_of(n: int) -> list[tuple[int, int]]:
+    """First and end word of the segments of an item of ``n`` words."""
+    count = max(1, n // SEGMENT_WORDS)
+    return [(n * k // count, n * (k + 1) // count) for k in range(count)]
+
+
 def edit_ends(pattern: list[int], text: list[int]) -> list[int]:
     """Least edits between the pattern and a stretch of the text that ends at each place (bit-parallel)."""
     n = len(pattern)
@@ -100,43 +104,48 @@ class Index:
                 self.vocabulary.setdefault(word, len(self.vocabulary) + 1)
             if words:
                 self.items.append((key, [self.vocabulary[word] for word in words]))
-        sizes = [len(words) for _, words in self.items] or [1]
-        # The runs of words of all items by length q, each once and in order; tables below are as long as these. One
-        # byte per value of a run's hash tells first whether there is any such run.
+        # Segments: item, first word, words, and edits that one of the item's segments stays within.
+        self.segments: list[tuple[int, int, list[int], int]] = []
+        for number, (_, words) in enumerate(self.items):
+            cuts = segments_of(len(words))
+            edits = edits_of(len(words)) // len(cuts)
+            self.segments += [(number, low, words[low:high], edits) for low, high in cuts]
+        sizes = [len(words) for _, _, words, _ in self.segments] or [1]
+        # The runs of words of all segments by length q, each once and in order; tables below are as long as these.
+        # One byte per value of a run's hash tells first whether there is any such run.
         own: dict[int, list[np.ndarray]] = {}
-        for _, words in self.items:
-            q = self._run_of(len(words))
+        for _, _, words, edits in self.segments:
+            q = self._run_of(len(words), edits)
             own.setdefault(q, []).append(self._grams(np.array(words, np.int64), q))
         self.known = {q: np.unique(np.concatenate(parts)) for q, parts in own.items()}
         self.any = {q: np.zeros(1 << GRAM_BITS, bool) for q in own}
         for q, known in self.known.items():
             self.any[q][known] = True
-        # For each run of words: how far before it a window of its items may start, at least and at most.
+        # For each run of words: how far before it a window of its segments may start, at least and at most.
         self.grams = {q: (np.full(len(k), 1 << 30, np.int32), np.full(len(k), -(1 << 30), np.int32)) for q, k in self.known.items()}
-        for _, words in self.items:
-            edits, q = edits_of(len(words)), self._run_of(len(words))
+        for _, _, words, edits in self.segments:
+            q = self._run_of(len(words), edits)
             ranks = np.searchsorted(self.known[q], self._grams(np.array(words, np.int64), q))
             places = np.arange(len(ranks), dtype=np.int32)
             np.minimum.at(self.grams[q][0], ranks, places - edits)
             np.maximum.at(self.grams[q][1], ranks, places + edits)
-        self.runs = {q: self._postings(q) for q in self.known}
-        self.lengths = np.array([len(words) for _, words in self.items], np.int64)
-        self.longest = int(self.lengths.max(initial=0) + edits_of(self.lengths).max(initial=0)) + 1
         classes, size = [], min(sizes)
         while size <= max(sizes):
             classes.append(size)
             size = max(size + 1, int(size * CLASS_STEP))
         self.classes = [c for k, c in enumerate(classes) if any(self._class(n, classes) == k for n in sizes)]
-        # Places of a class lie within the first 3/2 of its words, where a walk is still inside the item.
+        # Places of a class lie within the first 3/2 of its words, where a walk is mostly still inside the segment;
+        # segments without edits are sampled where it surely is.
         self.steps = max(2, int(1.5 * max(self.classes)))
         self.bits = rng.integers(0, 2, (WALKS, self.steps, 1 << 10), dtype=np.int8)
+        steps_of = {c: c if c < EDIT_SHARE else int(1.5 * c) for c in self.classes}
         self.places = [
-            [[sorted(rng.choice(max(2, int(1.5 * c)), PLACES, c < 4).tolist()) for _ in range(TABLES)] for c in self.classes]
+            [[sorted(rng.choice(steps_of[c], PLACES, c < 4).tolist()) for _ in range(TABLES)] for c in self.classes]
             for _ in range(WALKS)
         ]
         self.tables: dict[tuple, dict[int, list[int]]] = {}
         self.marks: dict[tuple, np.ndarray] = {}
-        for number, (_, words) in enumerate(self.items):
+        for number, (_, _, words, _) in enumerate(self.segments):
             own = self._class(len(words), self.classes)
             ids = np.concatenate([np.array(words, np.int64), np.zeros(self.steps + 1, np.int64)])
             for walk in range(WALKS):
@@ -161,55 +170,15 @@ class Index:
         return (h >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
 
     @staticmethod
-    def _run_of(n: int) -> int:
-        return min(3, n // (edits_of(n) + 1))
-
-    def _postings(self, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First posting of each run, and item and offset of the postings."""
-        own = [(k, self._grams(np.array(words, np.int64), q)) for k, (_, words) in enumerate(self.items) if self._run_of(len(words)) == q]
-        grams = np.concatenate([grams for _, grams in own])
-        item = np.concatenate([np.full(len(grams), k, np.int32) for k, grams in own])
-        offset = np.concatenate([np.arange(len(grams), dtype=np.int32) for _, grams in own])
-        order = np.argsort(grams, kind="stable")
-        first = np.searchsorted(grams[order], np.append(self.known[q], 1 << GRAM_BITS)).astype(np.int32)
-        return first, item[order], offset[order]
+    def _run_of(n: int, edits: int) -> int:
+        return min(3, n // (edits + 1))
 
     def _met(self, ids: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of a text's runs that some item has, and their ranks among the items' runs."""
+        """Places of a text's runs that some segment has, and their ranks among the segments' runs."""
         grams = self._grams(ids, q)
         places = np.flatnonzero(self.any[q][grams] & (ids[: len(grams)] > 0))
         return places, np.searchsorted(self.known[q], grams[places])
 
-    def counted(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Items and starts where as many of the item's runs lie together as the distance must leave."""
-        for q, (first, item, offset) in self.runs.items():
-            places, ranks = self._met(ids, q)
-            sizes = (first[ranks + 1] - first[ranks]).astype(np.int64)
-            total = np.concatenate([[0], np.cumsum(sizes)])
-            low = 0
-            while low < len(places):
-                high = max(low + 1, int(np.searchsorted(total, total[low] + SLICE_RUNS, side="right")) - 1)
-                # The next slice begins so far back that each occurrence lies within one.
-                back = int(np.searchsorted(places, places[high - 1] - self.longest)) if high < len(places) else high
-                if high < len(places) and back <= low:
-                    high = max(high, int(np.searchsorted(places, places[low] + 2 * self.longest, side="right")))
-                    back = max(low + 1, int(np.searchsorted(places, places[high - 1] - self.longest))) if high < len(places) else high
-                own, count = places[low:high], sizes[low:high]
-                at = np.repeat(first[ranks[low:high]] - (total[low:high] - total[low]), count) + np.arange(int(count.sum()))
-                yield self._close(item[at].astype(np.int64), np.repeat(own, count) - offset[at], q)
-                low = back
-
-    def _close(self, item: np.ndarray, start: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((start, item))
-        item, start = item[order], start[order]
-        lengths = self.lengths[item]
-        edits = edits_of(lengths)
-        last = np.arange(len(item)) + (lengths - q + 1 - q * edits) - 1
-        inside = np.minimum(last, len(item) - 1)
-        hit = (last < len(item)) & (item[inside] == item) & (start[inside] - start <= 2 * edits)
-        # The first of them is at most the edits away from the occurrence's own start and end.
-        return item[hit], start[hit]
-
     def _walk(self, ids: np.ndarray, starts: np.ndarray, walk: int, only: int | None = None):
         """((class, table), key per start) of one walk from every start."""
         classes = range(len(self.classes)) if only is None else [only]
@@ -230,7 +199,7 @@ class Index:
             yield one, keys[one] * np.uint64(MIX)
 
     def starts(self, ids: np.ndarray) -> np.ndarray:
-        """Starts of the windows that may hold an item."""
+        """Starts of the windows that may hold a segment."""
         change = np.zeros(len(ids) + 1, np.int64)
         for q, (least, most) in self.grams.items():
             hit, own = self._met(ids, q)
@@ -252,23 +221,31 @@ class Index:
                         continue
                     marked = self.marks[walk, c, t][(keys >> np.uint64(64 - KEY_BITS)).astype(np.int64)]
                     for k in np.flatnonzero(marked).tolist():
-                        for item in table.get(int(keys[k]), ()):
-                            near[item].append(int(starts[k]))
-        for own, starts in self.counted(ids):
-            for item, start in zip(own.tolist(), starts.tolist(), strict=True):
-                near[item].append(start)
+                        for segment in table.get(int(keys[k]), ()):
+                            item, first = self.segments[segment][:2]
+                            near[item].append(int(starts[k]) - first)
         found = []
         for item, own in near.items():
             words = self.items[item][1]
             edits, last = edits_of(len(words)), -1
             for start, end in merged(own, len(words) + 2 * edits):
-                low = max(0, start - edits, last)
+                low, end = max(0, start - edits, last), max(0, end)
                 for a, b, distance in occurrences(words, ids[low : end + len(words) + edits].tolist(), edits):
                     found.append((item, low + a, low + b, distance))
                     last = low + b
         return found
 
 
+def word_places(text: str) -> list[tuple[int, int]]:
+    """First and end character of each word, in the text as it is given."""
+    low = text.lower()
+    if len(low) == len(text):
+        return [found.span() for found in WORD.finditer(low)]
+    # Some letters grow longer in lower case: each lower-case character goes back to the one it came from.
+    origin = [at for at, letter in enumerate(text) for _ in letter.lower()]
+    return [(origin[found.start()], origin[found.end() - 1] + 1) for found in WORD.finditer(low)]
+
+
 def merged(starts: list[int], gap: int) -> list[tuple[int, int]]:
     """First and last of the runs of starts that lie at most ``gap`` apart."""
     runs: list[list[int]] = []
@@ -293,15 +270,18 @@ def contaminations(
 
     Columns: the document's id, item_id, start, end (words, the end exclusive), char_start, char_end,
     distance (word edits, at most one per ``EDIT_SHARE`` words of the item) and similarity. Words are
-    lower-case runs of letters, digits and underscores. Null and wordless texts and items match nothing. Repeated rows
-    and items are found each; columns besides the named ones are not read. The items are searched in
-    blocks of at most ``block_words`` words (or one item), one pass over the documents per block.
+    lower-case runs of letters, digits and underscores; characters are counted in the text as it is given. Null and
+    wordless texts and items match nothing, empty tables give an empty one. Texts of any length are searched whole.
+    Repeated rows and items are found each; of overlapping places of an item the closest is given, of equally close
+    ones the first. Columns besides the named ones are not read. Distinct items are searched in blocks of about
+    ``block_words`` words at most (or one item), one pass over the documents per block.
     """
     spark = docs.sparkSession
+    digest = free_name(docs.select(id_column), "item_digest")
     schema = T.StructType(
         [
             T.StructField(id_column, docs.schema[id_column].dataType),
-            T.StructField("item_id", items.schema[item_column].dataType),
+            T.StructField(digest, T.StringType()),
             T.StructField("start", T.IntegerType()),
             T.StructField("end", T.IntegerType()),
             T.StructField("char_start", T.IntegerType()),
@@ -310,14 +290,21 @@ def contaminations(
             T.StructField("similarity", T.DoubleType()),
         ]
     )
-    own = items.select(F.col(item_column).alias("key"), F.col(item_text).alias("text"))
-    total = own.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    # Equal items are searched for once, so a block has a bound however often one is repeated.
+    own = items.filter(F.col(item_text).isNotNull()).select(
+        F.col(item_column).alias("item_id"), F.col(item_text).alias("text"), F.sha2(item_text, 256).alias(digest)
+    )
+    own = stored(own, "items")
+    distinct = own.select(digest, "text").distinct()
+    total = distinct.agg(F.sum(F.size(F.split("text", r"\W+")))).first()[0] or 0
     blocks = max(1, -(-2 * total // block_words)) if total > block_words else 1
-    own = stored(own.withColumn("block", F.pmod(F.xxhash64("text", "key"), F.lit(blocks))), "items")
+    if blocks > 1:
+        distinct = stored(distinct.withColumn("block", F.pmod(F.xxhash64(digest), F.lit(blocks))), "blocks")
     parts = []
     for block in range(blocks):
-        rows = own.filter(F.col("block") == block).collect()  # a block of bounded size
-        index = spark.sparkContext.broadcast(Index([(row["key"], row["text"]) for row in rows]))
+        rows = (distinct.filter(F.col("block") == block) if blocks > 1 else distinct).collect()  # of bounded size
+        rows = sorted((row[digest], row["text"]) for row in rows)
+        index = spark.sparkContext.broadcast(Index(rows))
         part = map_batches(docs.select(id_column, text_column), _searcher(index, schema), schema)
         parts.append(part if blocks == 1 else stored(part, "found"))
         if blocks > 1:
@@ -325,7 +312,10 @@ def contaminations(
     result = parts[0]
     for part in parts[1:]:
         result = result.union(part)
-    return result
+    keys = own.select("item_id", F.col(digest).alias("digest_"))
+    found = result.withColumnRenamed(id_column, "row_").join(keys, F.col(digest) == F.col("digest_"))
+    rest = ("start", "end", "char_start", "char_end", "distance", "similarity")
+    return found.select(F.col("row_").alias(id_column), "item_id", *rest)
 
 
 def _searcher(shared, schema):
@@ -350,11 +340,9 @@ def _searcher(shared, schema):
                     start, end = start - int(begins[at]), min(end - int(begins[at]), sizes[at])
                     text = own[at]
                     if at not in places:
-                        same = len(text.lower()) == len(text)
-                        places[at] = [m.span() for m in WORD.finditer(text)] if same else []
-                    known = places[at] if end <= len(places[at]) else None
+                        places[at] = word_places(text)
                     key, pattern = index.items[item]
-                    spans = (known[start][0], known[end - 1][1]) if known else (None, None)
+                    spans = places[at][start][0], places[at][end - 1][1]
                     rows.append(low + at)
                     values = (key, start, end, *spans, distance, 1 - distance / len(pattern))
                     for column, value in zip(columns, values, strict=True):

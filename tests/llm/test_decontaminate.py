@@ -1,10 +1,10 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from arcwise.llm.catalog import op2_cgk_decontamination
-from arcwise.llm import decontaminate
-from arcwise.llm.decontaminate import Index, contaminations, edit_ends, edits_of, occurrences
+from arcwise.llm.decontaminate import SEGMENT_WORDS, Index, contaminations, edit_ends, edits_of, occurrences, segments_of, word_places
 from arcwise.llm.words import words_of
 from tests.llm.common import FOLDER, docs_of, needs_tables
 
@@ -78,23 +78,55 @@ def test_edges(spark, tmp_path):
     assert contaminations(docs_of(spark, tmp_path, []), items).count() == 0
 
 
-def test_every_item_within_the_distance_is_found(monkeypatch):
-    rng = random.Random(21)
-    for size in (5, 9, 15, 60, 100, 200, 300):
-        items = [(k, [f"w{rng.randrange(400)}" for _ in range(size)]) for k in range(20)]
-        index = Index([(k, " ".join(words)) for k, words in items])
-        for share in (5, 6, 8):
-            ids, planted = [0] * 400, []
-            for key, words in items:
-                own = list(words)
-                for _ in range(size // share):
-                    at = rng.randrange(len(own))
-                    own[at : at + 1] = rng.choice([[], ["new"], [own[at], "more"]])
-                ids += [index.vocabulary[f"w{rng.randrange(400)}"] for _ in range(50)]
-                planted.append((key, len(ids), len(ids) + len(own)))
-                ids += [index.vocabulary[word] for word in own] + [0] * 400
-            for slice_runs in (decontaminate.SLICE_RUNS, 50):
-                monkeypatch.setattr(decontaminate, "SLICE_RUNS", slice_runs)
-                found = index.search(np.array(ids, np.int64))
-                assert all(any(i == k and s < end and e > start for i, s, e, _ in found) for k, start, end in planted), (size, share)
-            monkeypatch.undo()
+def planted_texts(size, share, seed, count=60):
+    """An index of random items, a text that holds each once with edits, and where."""
+    rng = random.Random(seed)
+    items = [(k, [f"w{rng.randrange(2000)}" for _ in range(size)]) for k in range(count)]
+    index = Index([(k, " ".join(words)) for k, words in items])
+    ids, planted = [0] * 60, []
+    for key, words in items:
+        own = list(words)
+        for _ in range(size // share):
+            at = rng.randrange(len(own))
+            own[at : at + 1] = rng.choice([[], ["new"], [own[at], "more"]])
+            own = own or ["new"]
+        ids += [index.vocabulary[f"w{rng.randrange(2000)}"] for _ in range(50)]
+        planted.append((key, len(ids), len(ids) + len(own)))
+        ids += [index.vocabulary[word] for word in own] + [0] * 60
+    return index, np.array(ids, np.int64), planted
+
+
+def test_tables_reach_the_target_recall():
+    for size in (5, 7, 10, 15, 29, 30, 60, 100, 200, 300):
+        for share in (5, 6, 8, 12):
+            index, ids, planted = planted_texts(size, share, size * 100 + share)
+            found = index.search(ids)
+            hits = sum(any(i == k and s < end and e > start for i, s, e, _ in found) for k, start, end in planted)
+            assert hits >= 0.95 * len(planted), (size, share, hits)
+    for size in (1, 2, 3, 4, 5, 40):  # copies without an edit
+        index, ids, planted = planted_texts(size, 1000, size)
+        assert {(i, s, e) for i, s, e, distance in index.search(ids) if distance == 0} >= set(planted)
+
+
+def test_nothing_is_found_without_the_tables():
+    index, ids, _ = planted_texts(30, 6, 1)
+    assert index.search(ids)
+    index.tables.clear()
+    assert index.search(ids) == []
+
+
+def test_segments_cover_an_item():
+    for n in range(1, 400):
+        cuts = segments_of(n)
+        assert [low for low, _ in cuts] == [0, *[high for _, high in cuts[:-1]]] and cuts[-1][1] == n
+        assert all(min(n, SEGMENT_WORDS) <= high - low < 2 * SEGMENT_WORDS for low, high in cuts)
+
+
+def test_character_places_and_repeated_items(spark, tmp_path):
+    text = "İx Ones Twos, ſome İ words Σας end"
+    assert [text[a:b] for a, b in word_places(text)][-2:] == ["Σας", "end"]
+    docs = docs_of(spark, tmp_path, [(1, text), (2, "none of it")]).withColumn("item_digest", F.lit("x"))
+    items = spark.createDataFrame([(k, "ones twos ſome") for k in range(50)], "item_id LONG, text STRING")
+    rows = contaminations(docs, items.withColumn("start", F.lit(7))).collect()
+    assert sorted(row.item_id for row in rows) == list(range(50))
+    assert {(row.doc_id, text[row.char_start : row.char_end], row.distance) for row in rows} == {(1, "Ones Twos, ſome", 0)}
