@@ -150,3 +150,19 @@ def test_pieces_add_up_to_whole_texts_of_any_signs():
     whole = plain.encode_batch_fast(texts, add_special_tokens=False)
     assert found == [np.array(one.ids, "<u4").tobytes() for one in whole]
     assert mine.many(texts) == found
+
+
+def test_plain_pieces_are_put_together_from_their_tokens():
+    """Unseen words are not sent through the whole tokenizer, and any mix of characters gives its ids."""
+    plain, mine = Tokenizer.from_file(BYTE_BPE), Encoder(BYTE_BPE)
+    rng = random.Random(8)
+    sent, encode = [], mine._encode
+    mine._encode = lambda texts: sent.extend(texts) or encode(texts)
+    words = ["".join(rng.choice("abcdeéßñ") for _ in range(12)) + rng.choice(("", ",", ".\nNext", "###", "7", "'")) for _ in range(500)]
+    text = " ".join(["first", *words])
+    assert np.frombuffer(mine.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert sent == ["first"]
+    letters = [*"aabest  \n\n\t'''.,-_#|<>`@09éßǀ×ʼ٣ª᠎\x1c\x85　\x00\x01", "<|endoftext|>", "'ll", " we're", " \n", "\n ", "ing"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    whole = plain.encode_batch_fast(texts, add_special_tokens=False)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in mine.many(texts)] == [one.ids for one in whole]
