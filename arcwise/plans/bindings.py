@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcwise.operators import motion, sweep
+from arcwise.operators import kinematics, motion, sweep
 from arcwise.operators.path import PathColumns
 
 RESOLUTION = 20
@@ -89,7 +89,10 @@ def order_chains(
     Lines repeat in the given table, so a joint sums or takes the largest of what its lines say.
     """
     lines = table(spark, folder, "lineitem")
-    joints = lines.groupBy("l_linenumber", "l_orderkey").agg(
+    # Hardly any two lines share a key, so they are dealt first: hash tables then hold a task's share, not a file's.
+    values = lines.select("l_linenumber", "l_orderkey", "l_quantity", "l_discount", "l_tax")
+    dealt = values.repartition(kinematics.tasks_of(lines.count()), "l_linenumber", "l_orderkey")
+    joints = dealt.groupBy("l_linenumber", "l_orderkey").agg(
         (F.sum("l_quantity") / 1000).alias("position_x"),
         (F.max("l_discount") / 10).alias("orientation_amplitude"),
         (F.max("l_tax") * 50).alias("orientation_phase"),
