@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arcwise.llm.frames import batch_of, map_batches, numbered
+from arcwise.llm.frames import batch_of, give_back, map_batches, numbered
 
 BINS = 1 << 20
 GRADED_TEXTS = 512
@@ -221,6 +221,8 @@ def selected(docs: DataFrame, grader: Grader, above: int, least: float, text_col
     def tail(texts: pa.Array) -> pa.Array:
         slices = [texts.slice(at, GRADED_TEXTS).to_pylist() for at in range(0, len(texts), GRADED_TEXTS)]
         found = [shared.value.tails(part)[:, above] for part in slices]
+        del slices
+        give_back()
         return pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
 
     return docs.filter(tail(F.col(text_column)) >= least)

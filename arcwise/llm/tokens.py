@@ -7,7 +7,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arcwise.llm.frames import batch_of, map_batches
+from arcwise.llm.frames import batch_of, kept, map_batches
 
 KEPT_PIECES = 200_000
 """Pieces of each of the two generations that a worker remembers."""
@@ -161,7 +160,7 @@ def _pieces_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
 
 
-@lru_cache(maxsize=2)
+@kept
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 

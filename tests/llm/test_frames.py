@@ -1,9 +1,13 @@
+import re
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from arcwise.llm import exact, packing, passages
-from arcwise.llm.frames import free_name, numbered
+from arcwise.llm.frames import free_name, kept, map_batches, numbered
 from tests.llm.common import docs_of
 
 PARALLELISM = "spark.sql.leafNodeDefaultParallelism"
@@ -69,3 +73,50 @@ def test_packing_keeps_columns_of_any_name(spark):
     packed = packing.pack(pieces)
     assert packed.columns == [*pieces.columns, "sequence_id", "offset"]
     assert sorted(tuple(row)[:7] for row in packed.collect()) == sorted(rows)
+
+
+class Here:
+    """Runs a task in this process."""
+
+    @staticmethod
+    def mapInArrow(work, schema):  # noqa: N802
+        return list(work(iter([])))
+
+
+def own_mb():
+    return int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+def test_a_task_gives_back_its_memory():
+    last = []
+
+    def work(batches):
+        parts = [bytes([k % 256]) * 2000 for k in range(100_000)]
+        last.append(parts[-1])  # keeps the top of the heap, so nothing goes back by itself
+        del parts
+        yield from batches
+
+    before = own_mb()
+    map_batches(Here, work, None)
+    assert own_mb() < before + 60
+
+
+def test_what_tasks_keep_goes_with_the_next_operator():
+    made = []
+
+    @kept
+    def model(name):
+        made.append(name)
+        return name
+
+    def using(batches):
+        model("m")
+        yield from batches
+
+    for _ in range(3):
+        map_batches(Here, using, None)
+    assert made == ["m"]
+    map_batches(Here, lambda batches: batches, None)
+    map_batches(Here, using, None)
+    assert made == ["m", "m"]
