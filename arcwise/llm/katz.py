@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arcwise.llm.frames import batch_of, map_batches, stored
+from arcwise.llm.frames import batch_of, give_back, map_batches, stored
 
 CHUNK_TOKENS = 1 << 19
 """Tokens per chunk; longer texts go on in further chunks."""
@@ -352,6 +352,7 @@ def _dealt(chunk: Tokens, known: Vocabulary, hot: np.ndarray, buckets: int, trai
     if not len(words):
         return
     keys = known.keys(chunk.hashes)
+    # Arrays go as soon as they are used: two tasks of an executor hold a whole chunk each.
     # Piece, history and word share 64 bits where a chunk is of the usual size.
     bits = max(int(len(chunk.hashes)), int(len(chunk.lengths))).bit_length()
     if 3 * bits < 64:
@@ -359,45 +360,61 @@ def _dealt(chunk: Tokens, known: Vocabulary, hot: np.ndarray, buckets: int, trai
         for part in (words, pieces):
             joint <<= bits
             joint |= part
+        del histories, words, pieces, part
         joint.sort()
+        at = np.nonzero(np.r_[True, joint[1:] != joint[:-1]])[0]
+        times = np.diff(at, append=len(joint)).astype(np.uint32)
+        joint = joint[at]
         low = (1 << bits) - 1
-        histories, words, pieces = joint >> (2 * bits), (joint >> bits) & low, joint & low
+        pieces = (joint & low).astype(np.uint32)
+        joint >>= bits
+        starts = np.nonzero(np.r_[True, joint[1:] != joint[:-1]])[0]
+        joint = joint[starts]
+        left, right = keys[joint >> bits], keys[joint & low]
+        del at, joint
     else:
         order = np.lexsort((pieces, words, histories))
         pieces, histories, words = pieces[order], histories[order], words[order]
-    pair = np.r_[True, (histories[1:] != histories[:-1]) | (words[1:] != words[:-1])]
-    entry = pair | np.r_[True, pieces[1:] != pieces[:-1]]
-    at, starts = np.nonzero(entry)[0], np.nonzero(pair)[0]
-    times = np.diff(np.r_[at, len(words)])
-    entry_pair = np.cumsum(pair)[at] - 1
-    left, right = keys[histories[starts]], keys[words[starts]]
-    bucket = bucket_of(left, right, hot, buckets)
+        pair = np.r_[True, (histories[1:] != histories[:-1]) | (words[1:] != words[:-1])]
+        at = np.nonzero(pair | np.r_[True, pieces[1:] != pieces[:-1]])[0]
+        times = np.diff(at, append=len(words)).astype(np.uint32)
+        starts = np.nonzero(pair[at])[0]
+        left, right = keys[histories[at[starts]]], keys[words[at[starts]]]
+        pieces = pieces[at].astype(np.uint32)
+        del order, histories, words, pair, at
+    # Now pieces and times have an entry per pair and piece, the others a pair whose entries begin at starts.
+    bucket = bucket_of(left, right, hot, buckets).astype(np.int32)
     order = np.lexsort((right, left, bucket))
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
     left, right, bucket = left[order], right[order], bucket[order]
-    by_pair = np.argsort(place[entry_pair], kind="stable")
-    entry_at, pieces, times = place[entry_pair][by_pair], pieces[at][by_pair], times[by_pair]
+    per_pair = np.diff(starts, append=len(pieces))[order]
+    ends = np.cumsum(per_pair)
+    entries = np.repeat((starts[order] - ends + per_pair).astype(np.int32), per_pair) + np.arange(len(pieces), dtype=np.int32)
+    del order, starts
+    pieces, times = pieces[entries], times[entries]
+    del entries
     edges = np.r_[0, np.nonzero(bucket[1:] != bucket[:-1])[0] + 1, len(bucket)]
-    cuts = np.searchsorted(entry_at, edges)
+    cuts = np.r_[0, ends][edges]
     for k in range(len(edges) - 1):
         a, b, c, d = edges[k], edges[k + 1], cuts[k], cuts[k + 1]
-        per_pair = np.bincount(entry_at[c:d] - a, minlength=b - a)
-        numbers = [times[c:d]] if training else [per_pair, pieces[c:d], times[c:d]]
+        numbers = [times[c:d]] if training else [per_pair[a:b], pieces[c:d], times[c:d]]
         yield int(bucket[a]), pack_pairs(left[a:b], right[a:b], numbers)
 
 
-def _whole_pairs(histories: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of pairs, and the number of the distinct pair that each one in that order is."""
+def _added(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of several parts in order, and their counts added up; ``parts`` is emptied."""
+    histories, words = (np.concatenate([part[k] for part in parts]) for k in range(2))
+    times = np.concatenate([part[2][0] for part in parts])
+    parts.clear()
     order = np.lexsort((words, histories))
-    h, w = histories[order], words[order]
-    new = np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])] if len(h) else np.zeros(0, bool)
-    return order, np.cumsum(new) - 1
+    histories, words, times = histories[order], words[order], times[order].astype(np.int64)
+    del order
+    begins = np.nonzero(np.r_[True, (histories[1:] != histories[:-1]) | (words[1:] != words[:-1])])[0]
+    return histories[begins], words[begins], np.add.reduceat(times, begins)
 
 
 @dataclass
 class _Pairs:
-    """The stored pairs of a bucket, to be looked up."""
+    """The stored pairs of a bucket, to be looked up; ``of`` empties its list."""
 
     histories: np.ndarray
     words: np.ndarray
@@ -406,13 +423,23 @@ class _Pairs:
 
     @staticmethod
     def of(parts: list[tuple]) -> _Pairs:
-        empty = np.zeros(0, np.uint64)
-        histories, words = (np.concatenate([part[k] for part in parts] + [empty]) for k in range(2))
-        counts = np.concatenate([part[2][0] for part in parts] + [np.zeros(0, np.uint32)]).astype(np.int64)
+        if len(parts) == 1:
+            histories, words, (counts,) = parts[0]
+        else:
+            empty = np.zeros(0, np.uint64)
+            histories, words = (np.concatenate([part[k] for part in parts] + [empty]) for k in range(2))
+            counts = np.concatenate([part[2][0] for part in parts] + [np.zeros(0, np.uint32)])
+        parts.clear()
         left, right = np.unique(histories), np.unique(words)
-        joint = np.searchsorted(left, histories) * len(right) + np.searchsorted(right, words)
-        order = np.argsort(joint, kind="stable")
-        return _Pairs(left, right, joint[order], counts[order])
+        joint = np.searchsorted(left, histories)
+        del histories
+        joint *= len(right)
+        joint += np.searchsorted(right, words)
+        # A bucket's pairs are stored in order.
+        if (joint[1:] < joint[:-1]).any():
+            order = np.argsort(joint, kind="stable")
+            joint, counts = joint[order], counts[order]
+        return _Pairs(left, right, joint, counts)
 
     def counts_of(self, histories: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Counts of pairs, 0 for those not stored."""
@@ -472,13 +499,7 @@ def _counted_pairs(chunks: DataFrame, known: Vocabulary, hot: np.ndarray, bucket
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
-        parts = [unpack_pairs(blob) for blob in table.column("pairs").to_pylist()]
-        histories, words = (np.concatenate([part[k] for part in parts]) for k in range(2))
-        times = np.concatenate([part[2][0] for part in parts]).astype(np.int64)
-        order, pair = _whole_pairs(histories, words)
-        begins = np.searchsorted(pair, np.arange(pair[-1] + 1))
-        histories, words = histories[order][begins], words[order][begins]
-        counts = np.add.reduceat(times[order], begins)
+        histories, words, counts = _added([unpack_pairs(blob.as_py()) for blob in table.column("pairs")])
         small = np.minimum(counts, DISCOUNTED + 2)
         values, n = np.unique(small, return_counts=True)
         rare = words >= FIRST
@@ -504,6 +525,8 @@ def _counted_pairs(chunks: DataFrame, known: Vocabulary, hot: np.ndarray, bucket
             ),
             rows("rare", bucket, history=histories[rare].view(np.int64), word=(words[rare] & ~RARE).view(np.int64)),
         ]
+        del histories, words, counts, small, rare, chances, first, own, cell, cells, at, met
+        give_back()
         return pa.Table.from_batches(out)
 
     dealt = map_batches(chunks.select("first", "parts"), deal, dealt_schema)
@@ -623,13 +646,13 @@ def _pair_rows(chunks: DataFrame, model: Model) -> DataFrame:
                 yield batch_of(asked_schema, [[bucket], [CONTEXTS], [0], [blob]])
 
     def score(table: pa.Table) -> pa.Table:
-        kinds, firsts, blobs = table.column("kind").to_pylist(), table.column("first").to_pylist(), table.column("pairs").to_pylist()
-        grams = [unpack_pairs(blob) for kind, blob in zip(kinds, blobs, strict=True) if kind == GRAMS]
+        kinds, firsts, blobs = table.column("kind").to_pylist(), table.column("first").to_pylist(), table.column("pairs")
+        grams = [unpack_pairs(blob.as_py()) for kind, blob in zip(kinds, blobs, strict=True) if kind == GRAMS]
         asked = [(first, blob) for kind, first, blob in zip(kinds, firsts, blobs, strict=True) if kind == ASKED]
         empty = pa.Table.from_batches([batch_of(schema, [[]] * 8)])
         if not asked:
             return empty
-        raw = [zstandard.ZstdDecompressor().decompress(blob) for kind, blob in zip(kinds, blobs, strict=True) if kind == CONTEXTS]
+        raw = [zstandard.ZstdDecompressor().decompress(blob.as_py()) for kind, blob in zip(kinds, blobs, strict=True) if kind == CONTEXTS]
         thirds = [(blob[: len(blob) // 3], blob[len(blob) // 3 : len(blob) // 3 * 2], blob[len(blob) // 3 * 2 :]) for blob in raw]
         context = np.concatenate([np.frombuffer(part[0], np.uint64) for part in thirds] + [np.zeros(0, np.uint64)])
         facts = np.array([np.concatenate([np.frombuffer(part[k], np.float64) for part in thirds] + [np.zeros(0)]) for k in (1, 2)]).T
@@ -637,11 +660,12 @@ def _pair_rows(chunks: DataFrame, model: Model) -> DataFrame:
         # A hot history comes with the broadcast and in one bucket's contexts; both say the same.
         context, first = np.unique(context, return_index=True)
         facts = facts[first]
+        del raw, thirds
 
         pairs = _Pairs.of(grams)
         chunks, packs, out = [], [], []
         for first, blob in asked:
-            histories, words, (per_pair, pieces, times) = unpack_pairs(blob)
+            histories, words, (per_pair, pieces, times) = unpack_pairs(blob.as_py())
             counts = pairs.counts_of(histories, words)
             whole, weight = np.ones(len(words)), np.ones(len(words))
             if len(context):
@@ -666,6 +690,8 @@ def _pair_rows(chunks: DataFrame, model: Model) -> DataFrame:
             return batch_of(schema, [texts, none if words is None else words, none, zero, zero, back if sums is None else zero, zero.astype(float), none if sums is None else sums])
 
         handed = [rows(*(np.concatenate(column) for column in zip(*out, strict=True)), None)] if out else []
+        del pairs, context, facts, out
+        give_back()
         return pa.Table.from_batches([rows(chunks, None, None, packs), *handed])
 
     stored_pairs = model.grams.select("bucket", F.lit(GRAMS).alias("kind"), F.lit(0).cast("long").alias("first"), "pairs")

@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -139,3 +140,29 @@ def test_good_turing_factors():
     cut = 3 * 15 / 100
     assert found[1:3] == pytest.approx([(0.6 - cut) / (1 - cut), (0.75 - cut) / (1 - cut)])
     assert katz.discounts({}, most=5)[-1] == 0
+
+
+@pytest.mark.parametrize("training", [True, False])
+def test_dealing_a_chunk_needs_few_copies_of_it(training):
+    rng = np.random.default_rng(3)
+    size, types, texts = 200_000, 20_000, 400
+    tokens = np.where(np.arange(size) % (size // texts) == 0, 1, rng.integers(2, types, size)).astype(np.int32)
+    hashes = np.r_[0, 1, rng.integers(1 << 30, 1 << 60, types - 2)].astype(np.uint64)
+    known = katz.Vocabulary(np.sort(hashes[2:]), np.arange(types - 2, dtype=np.uint32), np.ones(types), 1, 1, np.ones(7), 1.0, 0.1)
+    chunk = katz.Tokens(0, hashes, np.zeros(texts, bool), np.full(texts, size // texts), tokens)
+    tracemalloc.start()
+    found = list(katz._dealt(chunk, known, np.zeros(0, np.uint64), 16, training))
+    packed, (_, most) = sum(len(blob) for _, blob in found), tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most - packed <= 100 * size
+    pairs = Counter(zip(tokens[:-1].tolist(), tokens[1:].tolist(), strict=True))
+    pairs = Counter({pair: n for pair, n in pairs.items() if pair[1] != 1})
+    keys = known.keys(hashes)
+    met = Counter()
+    for bucket, blob in found:
+        histories, words, numbers = katz.unpack_pairs(blob)
+        assert set(katz.bucket_of(histories, words, np.zeros(0, np.uint64), 16)) == {bucket}
+        owner = np.arange(len(words)) if training else np.repeat(np.arange(len(words)), numbers[0])
+        for h, w, n in zip(histories[owner].tolist(), words[owner].tolist(), numbers[-1].tolist(), strict=True):
+            met[h, w] += n
+    assert met == Counter({(int(keys[h]), int(keys[w])): n for (h, w), n in pairs.items()})
