@@ -176,8 +176,9 @@ def fingerprint_links(distinct: DataFrame, paired: int = PAIRED) -> DataFrame:
     found = stored(map_batches(sorted_rows, _verify(RADIUS, paired), LINKS), "links")
     ball = found.filter("dense").select(F.col("a").alias("fp")).distinct().select(_ball_values().alias("value"), "fp")
     centre = ball.groupBy("value").agg(F.min("fp").alias("a"), F.max("fp").alias("top"))
-    # A value with one fingerprint links nothing; the rest hang on the smallest one of their value.
-    stars = ball.join(centre.filter("a < top"), "value").filter("fp <> a").select("a", F.col("fp").alias("b"))
+    # A value with one fingerprint links nothing; the rest hang on the smallest one of their value. Neither side may be
+    # broadcast: Spark takes a ball for as large as its fingerprint.
+    stars = ball.hint("merge").join(centre.filter("a < top").hint("merge"), "value").filter("fp <> a").select("a", F.col("fp").alias("b"))
     return found.filter("NOT dense").select("a", "b").union(stars).distinct()
 
 

@@ -90,6 +90,21 @@ def test_links_join_all_pairs_sparse_and_dense(spark):
         assert {(a, b) for a in range(len(fps)) for b in range(len(fps)) if label[a] == label[b]} == wanted
 
 
+def near_ones(base, count):
+    """``count`` fingerprints within four bits of each other."""
+    two = [value for a in range(64) for b in range(a) if (value := base ^ 1 << a ^ 1 << b)]
+    return np.array(two[:count], np.uint64).view(np.int64).tolist()
+
+
+def test_dense_fingerprints_are_never_broadcast(spark):
+    frame = spark.createDataFrame([(value,) for value in near_ones(random.Random(8).getrandbits(64), 300)], "fp LONG")
+    links = fingerprint_links(frame, 2)
+    assert {row.component for row in components(links).collect()} == {min(value for row in links.collect() for value in row)}
+    # A ball has 2,081 values per fingerprint, which Spark's sizes do not count; a broadcast goes through the driver.
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(300)] + [(1000, k) for k in range(1001, 1400)] + [(5000, 5000)]
     found = {row.node: row.component for row in components(spark.createDataFrame(edges, "a LONG, b LONG")).collect()}
