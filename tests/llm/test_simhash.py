@@ -105,6 +105,21 @@ def test_dense_fingerprints_are_never_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_dense_texts_need_no_large_broadcast(spark, tmp_path):
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    rows = [(key, f"other {key} text {key}") for key in range(600, 630)]
+    for key in range(600):
+        at = rng.randrange(200)
+        rows.append((key, " ".join([*base[:at], f"e{key}", *base[at + 1 :]])))
+    docs = docs_of(spark, tmp_path, rows)
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "24m")
+    try:
+        assert rows_of(near_duplicates(docs, paired=2)) == expected(rows)
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(300)] + [(1000, k) for k in range(1001, 1400)] + [(5000, 5000)]
     found = {row.node: row.component for row in components(spark.createDataFrame(edges, "a LONG, b LONG")).collect()}
